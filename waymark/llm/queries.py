@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, line_dedup, packing, token_output, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    """The tokenizer file that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of its text, and how many lines went."""
+    lines = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0), lambda n, x: n + x["last"] - x["first"] + 1)
+    return lines.select("doc_id", "text", gone.cast("long").alias("lines_removed"))
+
+
 URL_RULES = [
     url_filter.Rule("org", "/", "allow"),
     url_filter.Rule("example.org", "/es/", "block"),
@@ -24,16 +38,49 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), eos=2)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence: its documents, where they lie, and digests of its ids and positions."""
+    packed = token_output.packed_sequences(table(spark, sf_dir, "documents"), word_tokenizer(), eos=2)
+    return packed.select("block", "sequence", "doc_ids", "starts", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_packing": op4_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_output": op8_token_output,
 }
 
 SQL = {
+    "op1_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i - 1 AS pos, string_split(text, chr(10))[i] AS raw, trim(string_split(text, chr(10))[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)
+), filled AS (
+  SELECT *, row_number() OVER d AS r, count(*) OVER (PARTITION BY doc_id) AS n, lead(line, 1) OVER d AS l1, lead(line, 2) OVER d AS l2,
+         coalesce(lead(pos, 2) OVER d, lead(pos, 1) OVER d, pos) AS last
+  FROM lines WHERE line <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), windows AS (
+  SELECT doc_id, pos, last, row_number() OVER (PARTITION BY least(n, 3), line, l1, l2 ORDER BY doc_id, pos) AS seen
+  FROM filled WHERE r <= greatest(n - 2, 1)
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(pos, last)) AS pos FROM windows WHERE seen > 1
+), kept AS (
+  SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (c.pos IS NULL) AS text, count(c.pos) AS gone
+  FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.pos = c.pos GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(gone, 0) AS lines_removed
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
     "op3_url_filter": r"""
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
