@@ -32,7 +32,7 @@ class Encoder(dict):
     most limit words are held.
     """
 
-    def __init__(self, path: str, eos: int | None, words: bool = True, limit: int = 1 << 19) -> None:
+    def __init__(self, path: str, eos: int | None, words: bool = True, limit: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,8 +43,9 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
+        # up to U+00FF letters stay single letters when composed and lower-cased
         plain = word.lower() if max(word) < "\u0100" else word
-        core = plain.rstrip(TAIL)
+        core = plain.rstrip(TAIL) if max(word) < "\u0100" else plain
         if core != plain and core.isalpha():
             ids = self[core] + self[plain[len(core) :]]
         elif plain != word:
