@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -73,6 +75,14 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             at = to
 
 
+def kept(key, make):
+    """make() once in this Python worker: later tasks of the process find it again."""
+    held = sys.modules.setdefault("waymark_worker", types.ModuleType("waymark_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: xor-shifts and odd multipliers."""
     with np.errstate(over="ignore"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, line_dedup, packing, token_output, url_filter
+from . import exact_dedup, line_dedup, ngram_jaccard, packing, token_output, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "text", gone.cast("long").alias("lines_removed"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_groups(table(spark, sf_dir, "documents"), k=3, t=90)
+
+
 URL_RULES = [
     url_filter.Rule("org", "/", "allow"),
     url_filter.Rule("example.org", "/es/", "block"),
@@ -54,6 +58,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op7_exact_dedup": op7_exact_dedup,

@@ -4,26 +4,18 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
 
+from .common import kept
+
 #: Blanks on which Python splits and the tokenizers' patterns do not.
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
 #: Punctuation that ends a word; the pattern makes it a token apart from letters before it.
 TAIL = ".,;:!?|"
 
 
-def kept(key, make):
-    """make() once in this Python worker: later tasks of the process find it again."""
-    held = sys.modules.setdefault("waymark_worker", types.ModuleType("waymark_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
-
-
 class Encoder(dict):
     """ids of whole texts, word by word: a cache from each run of non-blanks to its ids' bytes.
 
