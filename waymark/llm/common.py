@@ -92,7 +92,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Hashes and places of the words [^\\x20\\x09-\\x0D]+ of texts, A-Z lower-cased.
+    """Hashes and places of the words of texts, between gaps (bytes; by default \\x20 and \\x09-\\x0D), A-Z lower-cased.
 
     A word's hash is a polynomial over a random value per byte, modulo 2**64 and
     mixed; prefix sums and the inverse powers give it for all words at once.
@@ -100,13 +100,13 @@ class Words:
 
     BASE = 0x9E3779B97F4A7C15 | 1
 
-    def __init__(self) -> None:
+    def __init__(self, gaps: bytes = b" \t\n\v\f\r") -> None:
         values = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
         lower = np.arange(256)
         lower[65:91] += 32
         self.values = values[lower]
         self.space = np.zeros(256, bool)
-        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.space[list(gaps)] = True
         self.powers = self.inverses = np.ones(0, U64)
 
     def grow(self, n: int) -> None:
@@ -132,8 +132,14 @@ class Words:
             sums = np.zeros(len(data) + 1, U64)
             np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
             hashes = mix((sums[ends] - sums[starts]) * self.inverses[starts])
+        self.sums = sums
         return hashes, starts, ends, np.searchsorted(starts, rows)
 
+    def beginnings(self, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of each word of the texts called last (of all of a shorter word)."""
+        with np.errstate(over="ignore"):
+            return mix((self.sums[np.minimum(starts + n, ends)] - self.sums[starts]) * self.inverses[starts])
+
     def shingles(self, texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every run of k words, in order, and each row's first (and the end).
 

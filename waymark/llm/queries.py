@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, line_dedup, ngram_jaccard, packing, token_output, url_filter
+from . import exact_dedup, language_id, line_dedup, ngram_jaccard, packing, quality, token_output, toxicity, url_filter
+from .common import id_bucket
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,27 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), eos=2)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.document_statistics(table(spark, sf_dir, "documents"))
+    model = quality.fit(stats, table(spark, sf_dir, "labels").where(id_bucket("doc_id", 4) != 2))
+    return judged(quality.score(stats, model), 0.7)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of docs by a classifier fitted on those that labels marks and that aren't held out."""
+    sample = toxicity.labelled_sample(docs, labels.where(id_bucket("doc_id", 4) != 2), "toxic")
+    return toxicity.score(docs, toxicity.fit(sample, label_col="toxic", id_col="doc_id"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
+
+
+def judged(scores: DataFrame, least: float) -> DataFrame:
+    held_out = F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -56,13 +78,23 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("block", "sequence", "doc_ids", "starts", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = id_bucket("doc_id", 5)
+    model = language_id.fit(docs.where(fold != 0))
+    return language_id.identify(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_output": op8_token_output,
+    "op9_language_id": op9_language_id,
 }
 
 SQL = {
