@@ -9,14 +9,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 BLANKS = " \t\v\f\r"
 
 
-def windows_of(text: Column, size: int) -> Column:
-    """array<struct<h1, h2, first, last>>: the windows of size consecutive lines that aren't blank.
+def full_lines(text: Column) -> Column:
+    """array<struct<i, t>>: number and text of the lines that aren't blank."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x, F.lit(BLANKS)).alias("t")))
+    return F.filter(lines, lambda x: x["t"] != "")
+
 
-    first and last are line numbers from 0. A text of fewer such lines has one
-    window of all of them; a text without any has none.
+def windows_of(full: Column, size: int) -> Column:
+    """array<struct<h1, h2, first, last>>: the windows of size consecutive full lines.
+
+    full must be a column, not an expression, which lambdas would compute anew
+    for each window. first and last are line numbers from 0. A text of fewer such
+    lines has one window of all of them; a text without any has none.
     """
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x, F.lit(BLANKS)).alias("t")))
-    full = F.filter(lines, lambda x: x["t"] != "")
     n = F.size(full)
 
     def window(i: Column) -> Column:
@@ -80,7 +85,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     schema = docs.schema
     key = docs.select(F.struct(*[docs[f"`{c}`"] for c in schema.names if c not in (text_col, "removed")]).alias("row"), docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("th"))
-    found = key.where("text <> ''").select("id", "th", F.explode(windows_of(F.col("text"), size)).alias("w")).select("id", "th", "w.*")
+    lines = key.where("text <> ''").select("id", "th", full_lines(F.col("text")).alias("full"))
+    found = lines.select("id", "th", F.explode(windows_of(F.col("full"), size)).alias("w")).select("id", "th", "w.*")
     place = F.struct("id", "th", "first")
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("stays"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "stays")
     later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("stays")))
