@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,38 +13,58 @@ from .common import kept
 
 #: Blanks on which Python splits and the tokenizers' patterns do not.
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
+
 #: Punctuation that ends a word; the pattern makes it a token apart from letters before it.
 TAIL = ".,;:!?|"
 
+#: Byte-level models spell a byte as a character: printable ones stand for themselves.
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SPELLED = {b: chr(b) for b in PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
 
 class Encoder(dict):
     """ids of whole texts, word by word: a cache from each run of non-blanks to its ids' bytes.
 
-    For lower-casing tokenizers whose patterns split at white space, drop it and
-    part letters from punctuation; with words=False texts are encoded whole. At
-    most limit words are held.
+    For lower-casing byte-level tokenizers whose patterns split at white space,
+    drop it and part letters from punctuation; with words=False texts are encoded
+    whole. Words of letters up to U+00FF go straight to the model if it spells
+    them as encode does. At most limit words are held, and those of one full
+    cache before.
     """
 
-    def __init__(self, path: str, eos: int | None, words: bool = True, limit: int = 1 << 20) -> None:
+    def __init__(self, path: str, eos: int | None, words: bool = True, limit: int = 3 << 18) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model
         self.end = np.array([] if eos is None else [eos], "<u4").tobytes()
-        self.words, self.limit = words, limit
+        self.words, self.limit, self.old = words, limit, {}
+        self.letters = {i: "".join(SPELLED[b] for b in chr(i).encode()) for i in range(256) if chr(i).isalpha()}
+        trial = ["the", "unlikelihood", "\u00e9t\u00e9", "stra\u00dfe", "\u00aa\u00b5\u00ba", "zzqxv\u00ff"]
+        self.straight = all(self.spelled(w) == list(self.encode(w, add_special_tokens=False).ids) for w in trial)
+
+    def spelled(self, word: str) -> list[int]:
+        return [x.id for x in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
+            self.old = self.copy()
             self.clear()
-        # up to U+00FF letters stay single letters when composed and lower-cased
-        plain = word.lower() if max(word) < "\u0100" else word
-        core = plain.rstrip(TAIL) if max(word) < "\u0100" else plain
-        if core != plain and core.isalpha():
-            ids = self[core] + self[plain[len(core) :]]
-        elif plain != word:
-            ids = self[plain]
-        else:
-            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            # up to U+00FF letters stay single letters when composed and lower-cased
+            narrow = word.isascii() or max(word) < "\u0100"
+            plain = word.lower() if narrow else word
+            core = plain.rstrip(TAIL) if narrow else plain
+            if core != plain and core.isalpha():
+                ids = self[core] + self[plain[len(core) :]]
+            elif plain != word:
+                ids = self[plain]
+            elif narrow and self.straight and word.isalpha():
+                ids = array("I", self.spelled(word)).tobytes()
+            else:
+                ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -52,7 +73,7 @@ class Encoder(dict):
         """Little-endian unsigned 32-bit ids, with the end id."""
         text = text or ""
         if not self.words or ODD_BLANKS.search(text):
-            return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+            return array("I", self.encode(text, add_special_tokens=False).ids).tobytes() + self.end
         return b"".join(map(self.__getitem__, text.split())) + self.end
 
 
