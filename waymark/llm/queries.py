@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, line_dedup, ngram_jaccard, packing, quality, token_output, toxicity, url_filter
+from . import decontaminate, exact_dedup, language_id, line_dedup, ngram_jaccard, packing, quality, token_output, toxicity, url_filter
 from .common import id_bucket
 
 
@@ -85,6 +85,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a passage of benchmark, with the items."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -95,6 +100,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_output": op8_token_output,
     "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL = {
