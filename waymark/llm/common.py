@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,11 +24,31 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir; only where that is unset
     (tests on one machine) a temporary one is made.
     """
+    checkpoint_folder(df)
+    return df.checkpoint()
+
+
+def checkpoint_folder(df: DataFrame) -> str:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder, read again."""
+    folder = f"{checkpoint_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df; from now on its session sends at most rows rows at a time to Python, since texts can be long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
 
 
 def shuffle_partitions(df: DataFrame) -> int:

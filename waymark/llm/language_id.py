@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, bounded_share, chunks, kept, mix
+from .common import U64, bounded_share, chunks, kept, mix, small_batches
 
 #: Rows that the filters are fitted on, about, at most.
 FIT_ROWS = 20_000
@@ -100,7 +100,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     null text or language are left out. The driver gets 1 / SHARE n-grams of a
     language at most. Over LANGUAGES languages raise ValueError.
     """
-    known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    known = small_batches(labelled).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     known = bounded_share(known, "id", rows)
     counts = known.mapInArrow(lambda it: count_grams(it, gram), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     sorts first. Repeated rows and null ids are labelled each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(lambda it: label(it, shared), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 

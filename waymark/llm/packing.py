@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, small_batches
 from .tokens import documents
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, chunk long, nth long"
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, eos: int | None = None, size: int = 40
     the patterns' intervals go out to the tasks, fewer than 2 * size patterns of
     sqrt(2 * size) lengths each.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cuts = cut(rows.mapInArrow(lambda it: pieces(it, tokenizer, eos, words, size), PIECES))
     counts = cut(cuts.groupBy("chunk", "length").agg(F.count("*").alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

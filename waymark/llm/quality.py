@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import CHUNK_BYTES, Words, chunks, cut, kept, text_bytes
+from .common import CHUNK_BYTES, Words, chunks, cut, kept, small_batches, text_bytes
 
 #: Random features, and the ridge penalty (of each row's unit of fit).
 FEATURES = 192
@@ -180,7 +180,7 @@ def isotonic(counts: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, stats) of every row, computed once and kept; a null text is empty."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return cut(rows.mapInArrow(describe, f"id {rows.schema['id'].dataType.simpleString()}, stats array<float>"))
 
 

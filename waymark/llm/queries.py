@@ -8,6 +8,10 @@ from . import decontaminate, exact_dedup, language_id, line_dedup, ngram_jaccard
 from .common import id_bucket
 
 
+#: Scores from which a document is predicted good, and toxic.
+GOOD, TOXIC = 0.7, 0.3
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,17 +54,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.document_statistics(table(spark, sf_dir, "documents"))
     model = quality.fit(stats, table(spark, sf_dir, "labels").where(id_bucket("doc_id", 4) != 2))
-    return judged(quality.score(stats, model), 0.7)
+    return judged(quality.score(stats, model), GOOD)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores of docs by a classifier fitted on those that labels marks and that aren't held out."""
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on the documents that labels marks and that aren't held out."""
     sample = toxicity.labelled_sample(docs, labels.where(id_bucket("doc_id", 4) != 2), "toxic")
-    return toxicity.score(docs, toxicity.fit(sample, label_col="toxic", id_col="doc_id"))
+    return toxicity.fit(sample, label_col="toxic", id_col="doc_id")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return judged(toxicity.score(docs, model), TOXIC)
 
 
 def judged(scores: DataFrame, least: float) -> DataFrame:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .tokens import documents
 
 SEQUENCES = "block long, sequence long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
@@ -115,7 +116,7 @@ def packed_sequences(docs: DataFrame, tokenizer: str, eos: int | None = None, si
     """
     from pyspark.sql import functions as F
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda it: sequences(it, tokenizer, eos, words, size, kind, pad, block_tokens), SEQUENCES)
 
 

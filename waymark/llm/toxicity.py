@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import U64, Words, bounded_share, chunks, kept
+from .common import U64, Words, bounded_share, chunks, kept, small_batches
 
 #: Labelled rows that the classifier is fitted on, about, at most.
 FIT_ROWS = 8_000
@@ -133,26 +134,26 @@ def fit_rows(x: list[np.ndarray], y: np.ndarray, c: list[np.ndarray | None], l2:
     return Model(names.astype(U64)[order], w[order], float(b))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", rows: int = FIT_ROWS, groups=IDENTITY_TERMS) -> Model:
-    """Learns from about rows rows at most of labelled, chosen by a hash of the id; null labels and texts are left out."""
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", groups=IDENTITY_TERMS) -> Model:
+    """Learns from all rows of labelled (see labelled_sample for the bound); null labels and texts are left out."""
     known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("text is not null and label in (0, 1)")
     found = known.mapInArrow(lambda it: sparse_rows(it, groups), "label int, x array<long>, c array<long>").toArrow()
     x, c = ([np.array(v, np.int64) if v is not None else None for v in found.column(k).to_numpy()] for k in ("x", "c"))
     return fit_rows(x, np.array(found.column("label").to_pylist(), float), c)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", rows: int = FIT_ROWS) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> DataFrame:
     """(id, text, label) of about rows labelled documents at most; only their labels, as few, go out to docs."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(label_col))
-    return docs.join(F.broadcast(bounded_share(known, id_col, rows)), id_col)
+    return docs.select(id_col, text_col).join(F.broadcast(bounded_share(known, id_col, rows)), id_col)
 
 
-def rate(batches, shared):
-    """(id, score) of each row."""
+def rate(batches, shared, text_col: str, names: list[str]):
+    """The named columns of each row, score among them."""
     model = shared.value
     near = np.zeros(1 << 20, bool)
     near[(model.features & U64((1 << 20) - 1)).astype(np.int64)] = True
-    for batch, texts in chunks(batches):
+    for batch, texts in chunks(batches, text_col):
         found, row = features_of(texts)
         maybe = np.flatnonzero(near[(found & U64((1 << 20) - 1)).astype(np.int64)])
         found, row = found[maybe], row[maybe]
@@ -162,17 +163,19 @@ def rate(batches, shared):
             hit = model.features[at] == found
             pair = np.unique(row[hit] * len(model.features) + at[hit])
             z += np.bincount(pair // len(model.features), model.weights[pair % len(model.features)], minlength=len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["id", "score"])
+        scores = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        yield pa.RecordBatch.from_arrays([scores if c == "score" else batch.column(c) for c in names], names=names)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and score (0 to 1, higher: toxic likelier) of every row of docs.
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Every row and column of docs, and score (0 to 1, higher: toxic likelier); a column of that name is replaced.
 
-    A-Z count as a-z; a null or empty text gets the bias alone. Repeated rows
-    and null ids are scored each. An empty training set gives a model of low
-    scores; one of a single class, of that class.
+    A-Z count as a-z; a null or empty text gets the bias alone. Repeated rows and
+    null ids are scored each. An empty training set gives a model of low scores;
+    one of a single class, of that class.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: rate(it, shared), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    kept_columns = [f for f in small_batches(docs).schema if f.name != "score"]
+    names = [*(f.name for f in kept_columns), "score"]
+    schema = StructType([*kept_columns, StructField("score", DoubleType())])
+    return docs.select(*(docs[f"`{f.name}`"] for f in kept_columns)).mapInArrow(lambda it: rate(it, shared, text_col, names), schema)
