@@ -28,6 +28,9 @@ GAPS = r"[\s\p{Punct}]+"
 
 KEY = ["id", "th"]
 
+# Arrays are exploded by the outer functions: for the others the optimiser filters
+# on the array's size first, and computes its expression anew, inside lambdas too.
+
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAPS), "")
@@ -64,7 +67,7 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Dat
     words = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).where("size(words) > 0").dropDuplicates()
     words = words.withColumn("item", F.xxhash64("item_id", "words")).withColumn("m", F.size("words")).withColumn("width", F.least("m", F.lit(size)))
     short = reduce(lambda x, s: x.when(F.col("width") == s, shingles_of(F.col("words"), s)), range(1, size), F.when(F.col("width") == size, shingles_of(F.col("words"), size)))
-    return words.select("item", "item_id", "m", "width", F.posexplode(short).alias("q", "g"))
+    return words.select("item", "item_id", "m", "width", F.posexplode_outer(short).alias("q", "g")).where("g is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = SHINGLE, similar: int = SIMILAR, radius: int = RADIUS) -> DataFrame:
@@ -110,7 +113,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     found = None
     for width in widths:
         hashes = words.select(*KEY, F.size("words").alias("n_words"), shingles_of(F.col("words"), width).alias("h"))
-        hits = hashes.select(*KEY, "n_words", F.posexplode("h").alias("pos", "g")).join(sized(anchors.where(F.col("width") == width).drop("width"), n_rows), "g")
+        hits = hashes.select(*KEY, "n_words", F.posexplode_outer("h").alias("pos", "g")).where("g is not null").join(sized(anchors.where(F.col("width") == width).drop("width"), n_rows), "g")
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("q"), F.col("n_words") - F.col("m")))
         hits = hits.select(*KEY, start.alias("start"), F.least("m", "n_words").alias("length"), "m", F.lit(width).alias("width")).distinct()
         found = hits if found is None else found.unionByName(hits)
@@ -119,11 +122,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     taken = cut(found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "length", "m", "width")).alias("windows")))
     taken = taken.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "windows").hint("shuffle_hash")
     held = rows.join(taken, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).dropDuplicates(KEY)
-    held = held.select(*KEY, words_of(F.col("text")).alias("words"), F.explode("windows").alias("w"))
+    held = held.select(*KEY, words_of(F.col("text")).alias("words"), F.explode_outer("windows").alias("w"))
     own = held.select(*KEY, "w.*", F.slice("words", F.col("w.start") + 1, F.col("w.length")).alias("own"))
     wide = reduce(lambda x, s: x.when(F.col("width") == s, shingles_of(F.col("own"), s)), widths[1:], F.when(F.col("width") == widths[0], shingles_of(F.col("own"), widths[0])))
     window = [*KEY, "start", "length", "m"]
-    pieces = own.select(*window, F.explode(wide).alias("g")).groupBy(*window, "g").agg(F.count("*").alias("n"))
+    pieces = own.select(*window, F.explode_outer(wide).alias("g")).where("g is not null").groupBy(*window, "g").agg(F.count("*").alias("n"))
     pieces = cut(pieces.join(sized(weights.select("g", "weight"), n_rows), "g", "left").withColumn("weight", F.coalesce("weight", F.lit(most))))
 
     prints = cut(pieces.groupBy(*window).agg(fingerprint().alias("fp"), total.alias("all")))
