@@ -6,11 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Words, chunks, cut, kept, mix, shuffle_partitions, star
+from .common import U64, Words, chunks, cut, kept, mix, shuffle_partitions, small_batches, star
 
-#: Up to this many documents with a prefix token in common, pairs are made from it.
+#: A token in more documents is frequent: the orders put it last, and no pairs are made from it.
 LIGHT = 48
 
+#: Up to this many sets that share a token which wasn't known as frequent, pairs are made all the same.
+PAIRED = 256
+
 #: Tokens that the orders put last and that are sent to all tasks, at most (8 bytes each).
 FREQUENT = 1 << 18
 
@@ -18,10 +21,12 @@ FREQUENT = 1 << 18
 BLOCK = 512
 
 #: What one task buffers before it writes, in tokens.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 ORDERS = 2
-POSTING = np.dtype([("token", "<u8"), ("cls", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+#: token: 32 bits below the bucket's; light: length of the prefix without frequent tokens; last: its last key.
+POSTING = np.dtype([("token", "<u4"), ("flags", "<u4"), ("cls", "<u8"), ("n", "<u4"), ("light", "<u4"), ("last", "<u4")])
+EDGE = np.dtype([("token", "<u8"), ("cls", "<u8")])
 
 
 def sets_of(batches, k: int):
@@ -107,19 +112,20 @@ def prefixes(batches, k: int, t: int, universe: int, shift: int, hot: np.ndarray
 
     Order o sorts by (frequent, outside universe, o-th hash). A set that has
     frequent tokens in all its prefixes also gives an edge (class, token) for
-    each of the first order's; its light postings say which orders hold some.
+    each of the first order's; flags say under which orders it has some.
     """
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
-    held: list[list[np.ndarray]] = [[], []]
+    lists: list[list[np.ndarray]] = [[], []]
     size, seen = 0, set()
     salts = [U64(0), *(U64(0xA0761D6478BD642F + o) for o in range(1, ORDERS))]
 
     def flush():
-        for kind, arrays in enumerate(held):
+        for kind, arrays in enumerate(lists):
             if not arrays:
                 continue
-            rows = np.concatenate(arrays)
-            bucket = ((rows["token"] if not kind else mix(rows["cls"])) >> U64(shift)).astype(np.int64)
+            keys = np.concatenate([k for k, _ in arrays])
+            rows = np.concatenate([r for _, r in arrays])
+            bucket = (keys >> U64(shift)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -137,101 +143,124 @@ def prefixes(batches, k: int, t: int, universe: int, shift: int, hot: np.ndarray
             near = hot[np.minimum(np.searchsorted(hot, flat >> U64(shift - 32)), len(hot) - 1)]
             is_hot = near == flat >> U64(shift - 32)
         rank = (is_hot.astype(U64) << U64(63)) | ((flat >= U64(universe)).astype(U64) << U64(62))
-        keys = [rank | (mix(flat ^ s) >> U64(2)) for s in salts]
+        mixed = [mix(flat ^ s) for s in salts]
+        keys = [rank | (m >> U64(2)) for m in mixed]
         for s, end in zip(sets, ends):
             c1, _ = class_of(s)
             if c1 in seen:
                 continue
-            if len(seen) < 1 << 20:
+            if len(seen) < 1 << 18:
                 seen.add(c1)
             a, n = end - len(s), len(s)
             need = n - -(-t * n // 100) + 1
             first = [a + np.argsort(key[a:end])[:need] for key in keys]
-            any_hot = [bool(is_hot[f].any()) for f in first]
+            any_hot = [bool(is_hot[f[-1]]) for f in first]
             flags = sum(1 << o for o in range(ORDERS) if any_hot[o])
             for o, f in enumerate(first):
-                light = ~is_hot[f]
-                rows = np.zeros(int(light.sum()), POSTING)
-                # the order's number is in the token's last bit
-                rows["token"] = (mix(flat[f[light]] ^ salts[o]) & ~U64(1)) | U64(o)
-                rows["cls"], rows["n"], rows["pos"] = c1, n, (np.flatnonzero(light) << ORDERS) | flags
-                held[0].append(rows)
+                light = f[~is_hot[f]]
+                if not len(light):
+                    continue
+                rows = np.zeros(len(light), POSTING)
+                rows["token"] = (mixed[o][light] >> U64(shift - 32)) & U64(0xFFFFFFFF)
+                rows["flags"] = flags << 1 | o
+                rows["cls"], rows["n"], rows["light"], rows["last"] = c1, n, len(light), keys[o][light[-1]] >> U64(32)
+                lists[0].append((mixed[o][light], rows))
                 size += len(rows)
             if all(any_hot):
                 own = flat[first[0][is_hot[first[0]]]]
-                rows = np.zeros(len(own), POSTING)
-                rows["token"], rows["cls"], rows["n"] = own, c1, n
-                held[1].append(rows)
+                rows = np.zeros(len(own), EDGE)
+                rows["token"], rows["cls"] = own, c1
+                lists[1].append((mix(rows["cls"]), rows))
+                size += len(rows)
         if size >= FLUSH:
             yield from flush()
-            held, size = [[], []], 0
+            lists, size = [[], []], 0
     yield from flush()
 
 
-def candidates(batches, t: int):
-    """(a, b, orders): pairs of classes that share a light prefix token, with a bit for each order.
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("o", pa.int32()), ("shared", pa.int32()), ("needed", pa.int32()), ("frequent", pa.int32())])
 
-    Size and position filters apply. An order's bit is also set where both sets
-    have frequent tokens in that order's prefix. Tokens that turn out to be in
-    more than LIGHT sets link each set to the first, with all bits, as do the
-    edges of sets that are frequent tokens all through.
+
+def candidates(batches, t: int):
+    """Rows (a, b, o, shared, needed, frequent) of pairs of classes that share light prefix tokens under order o.
+
+    shared counts the tokens of this bucket; needed is what a similar pair shares
+    at least; frequent has a bit for each order under which both sets have
+    frequent tokens in their prefixes too. Pairs whose sizes differ too much are
+    left out. A token that turns out to be in more than PAIRED sets links each set
+    to the first, as o = -1; so do the edges of sets whose prefixes all have
+    frequent tokens.
     """
-    every = (1 << ORDERS) - 1
-    for kind in batches_by_kind(batches):
-        for is_edge, blobs in kind:
-            rows = np.frombuffer(b"".join(blobs), POSTING)
-            if is_edge:
-                yield edge_batch(rows["cls"], rows["token"], np.full(len(rows), every))
-                continue
-            rows = rows[np.lexsort((rows["cls"], rows["token"]))]
-            fresh = np.concatenate([[True], (rows["token"][1:] != rows["token"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])])
-            rows = rows[fresh]
-            starts = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
-            sizes = np.diff([*starts, len(rows)])
-            found = [np.zeros((0, 3), U64)]
-            for size in np.unique(sizes[(sizes > 1) & (sizes <= LIGHT)]):
-                at = starts[sizes == size][:, None]
-                left, right = np.triu_indices(size, 1)
-                for lot in range(0, len(at), 1 + 200_000 // len(left)):
-                    own = at[lot : lot + 1 + 200_000 // len(left)]
-                    found.append(filtered(rows[(own + left).ravel()], rows[(own + right).ravel()], t))
-            for a, size in zip(starts[sizes > LIGHT], sizes[sizes > LIGHT]):
-                members = rows["cls"][a + 1 : a + size]
-                found.append(np.stack([np.full(size - 1, rows["cls"][a], U64), members, np.full(size - 1, every, U64)], 1))
-            all_ = np.concatenate(found)
-            all_ = all_[np.lexsort((all_[:, 1], all_[:, 0]))]
-            if len(all_):
-                new = np.flatnonzero(np.concatenate([[True], (all_[1:, :2] != all_[:-1, :2]).any(1)]))
-                yield edge_batch(all_[new, 0], all_[new, 1], np.bitwise_or.reduceat(all_[:, 2], new))
-
-
-def batches_by_kind(batches):
-    """Streams (is_edge, blobs) a bucket at a time, of rows sorted by kind and bucket."""
+    for is_edge, blobs in buckets(batches):
+        if is_edge:
+            rows = np.frombuffer(b"".join(blobs), EDGE)
+            yield link_batch(rows["cls"], rows["token"])
+            continue
+        rows = np.frombuffer(b"".join(blobs), POSTING)
+        key = (rows["flags"].astype(U64) & U64(1)) << U64(32) | rows["token"]
+        order = np.lexsort((rows["cls"], key))
+        rows, key = rows[order], key[order]
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (rows["cls"][1:] != rows["cls"][:-1])])
+        rows, key = rows[fresh], key[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff([*starts, len(rows)])
+        found = []
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= PAIRED)]):
+            at = starts[sizes == size][:, None]
+            left, right = np.triu_indices(size, 1)
+            step = 1 + 200_000 // len(left)
+            for lot in range(0, len(at), step):
+                found.append(filtered(rows[(at[lot : lot + step] + left).ravel()], rows[(at[lot : lot + step] + right).ravel()], t))
+        for a, size in zip(starts[sizes > PAIRED], sizes[sizes > PAIRED]):
+            yield link_batch(np.full(size - 1, rows["cls"][a]), rows["cls"][a + 1 : a + size])
+        if found:
+            every = np.concatenate(found)
+            every = every[np.lexsort((every["o"], every["b"], every["a"]))]
+            if len(every):
+                new = np.concatenate([[True], (every["a"][1:] != every["a"][:-1]) | (every["b"][1:] != every["b"][:-1]) | (every["o"][1:] != every["o"][:-1])])
+                at = np.flatnonzero(new)
+                pairs = every[at]
+                shared = np.diff([*at, len(every)])
+                columns = [pairs["a"].astype(np.int64), pairs["b"].astype(np.int64), pairs["o"], shared, pairs["needed"], pairs["frequent"]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PAIR)], schema=PAIR)
+
+
+def link_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    columns = [a.astype(np.int64), b.astype(np.int64), np.full(len(a), -1), *[np.zeros(len(a), int)] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PAIR)], schema=PAIR)
+
+
+def buckets(batches):
+    """(is_edge, blobs) a bucket at a time, of rows sorted by kind and bucket."""
     at, held = None, []
     for batch in batches:
         for kind, bucket, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "blob"))):
             if (kind, bucket) != at and held:
-                yield [(at[0] == 1, held)]
+                yield at[0] == 1, held
                 held = []
             at = kind, bucket
             held.append(blob)
     if held:
-        yield [(at[0] == 1, held)]
+        yield at[0] == 1, held
 
 
 def filtered(x: np.ndarray, y: np.ndarray, t: int) -> np.ndarray:
-    """(a, b, orders) of the pairs whose sizes and prefix positions allow the similarity."""
-    nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    px, py = (x["pos"] >> ORDERS).astype(np.int64), (y["pos"] >> ORDERS).astype(np.int64)
-    most = np.minimum(px, py) + 1 + np.minimum(nx - px, ny - py) - 1
-    ok = (100 * np.minimum(nx, ny) >= t * np.maximum(nx, ny)) & (most * (100 + t) >= t * (nx + ny))
-    x, y = x[ok], y[ok]
-    orders = (U64(1) << (x["token"] & U64(1))) | (x["pos"] & y["pos"] & ((1 << ORDERS) - 1)).astype(U64)
-    return np.stack([x["cls"], y["cls"], orders], 1)
-
+    """(a, b, o, needed, frequent) of the pairs whose sizes allow the similarity.
 
-def edge_batch(a: np.ndarray, b: np.ndarray, orders: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "orders": pa.array(orders.astype(np.int32))})
+    A similar pair has at least ceil(t (nx + ny) / (100 + t)) tokens in common, so
+    each set has few others. The set whose light prefix ends first in the order
+    has all of that prefix, but those few, in the other's light prefix.
+    """
+    nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    ok = 100 * np.minimum(nx, ny) >= t * np.maximum(nx, ny)
+    x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
+    least = -(-t * (nx + ny) // (100 + t))
+    out = np.zeros(len(x), [("a", "<u8"), ("b", "<u8"), ("o", "<i4"), ("needed", "<i4"), ("frequent", "<i4")])
+    by_x, by_y = x["light"] - (nx - least), y["light"] - (ny - least)
+    out["needed"] = np.where(x["last"] < y["last"], by_x, np.where(x["last"] > y["last"], by_y, 1))
+    out["a"], out["b"], out["o"] = x["cls"], y["cls"], x["flags"] & 1
+    out["frequent"] = (x["flags"] & y["flags"]) >> 1
+    return out
 
 
 def members(batches, k: int):
@@ -329,15 +358,16 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     2. Document frequencies (exact, over all documents, for the share of the token
        space that orders put first) name frequent tokens, FREQUENT at most.
     3. Each set's prefix under ORDERS global orders (frequent tokens last, then by
-       another hash each) goes out as postings. Classes that share a light prefix
-       token under every order, and pass the size and position filters, are
-       candidates. Sets of frequent tokens through and through, such as large
-       groups of near copies, meet through edges to those tokens instead of pairs.
+       another hash each) goes out as postings. Classes that share enough light
+       prefix tokens under every order (all but what the similarity lets a set
+       have alone), and sizes, are candidates. Sets of frequent tokens through and
+       through, such as large groups of near copies, meet through edges to those
+       tokens instead of pairs.
     4. Clusters of candidates are verified exactly by an inverted index, a cluster
        over BLOCK classes in pairs of blocks; only spanning forests come out.
     5. The forests' components are the groups.
     """
-    n = shuffle_partitions(docs)
+    n = shuffle_partitions(small_batches(docs))
     bits = max(8, min(16, (4 * n - 1).bit_length()))
     shift = 64 - bits
     universe = min((1 << 64) - 1, int((1 << 64) * 3 * (100 - t) / 100))
@@ -348,8 +378,18 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     hot = np.unique(np.array([(r.bucket << 32) + r.low for r in hot], U64))
 
     postings = rows.mapInArrow(lambda it: prefixes(it, k, t, universe, shift, hot), "bucket int, kind int, blob binary")
-    pairs = postings.repartition(n, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(lambda it: candidates(it, t), "a long, b long, orders int")
-    both = pairs.groupBy("a", "b").agg(F.bit_or("orders").alias("orders")).where(F.col("orders") == (1 << ORDERS) - 1)
+    pairs = postings.repartition(n, "bucket").sortWithinPartitions("kind", "bucket")
+    pairs = pairs.mapInArrow(lambda it: candidates(it, t), "a long, b long, o int, shared int, needed int, frequent int")
+    sums = [F.max(F.when(F.col("o") == -1, True)).alias("linked"), F.max("frequent").alias("frequent")]
+    for o in range(ORDERS):
+        own = F.col("o") == o
+        sums += [F.sum(F.when(own, F.col("shared"))).alias(f"shared{o}"), F.max(F.when(own, F.col("needed"))).alias(f"needed{o}")]
+    both = pairs.groupBy("a", "b").agg(*sums)
+    for o in range(ORDERS):
+        # what meets in frequent tokens alone may share no light one under this order
+        may = F.col("frequent").bitwiseAND(F.lit(1 << o)) != 0
+        enough = F.col(f"shared{o}") >= F.col(f"needed{o}")
+        both = both.where(F.col("linked") | F.coalesce(enough, may))
     clusters = star(both.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     profiles = first.where("bucket is null").select("id", "th", "n", "c1", "c2")
