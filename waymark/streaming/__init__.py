@@ -1,0 +1 @@
+"""No operator here: path queries run over stored graphs, and nothing of the kind they replace streams."""
