@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import small_batches
+
 #: Blanks that are trimmed off a line before it is compared.
 BLANKS = " \t\v\f\r"
 
@@ -83,10 +85,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     window found everywhere moves once per task; repeated ones join back to
     their windows (AQE splits hot ones), and only line spans join the texts.
     """
-    schema = docs.schema
+    schema = small_batches(docs).schema
     key = docs.select(F.struct(*[docs[f"`{c}`"] for c in schema.names if c not in (text_col, "removed")]).alias("row"), docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("th"))
     lines = key.where("text <> ''").select("id", "th", full_lines(F.col("text")).alias("full"))
-    found = lines.select("id", "th", F.explode(windows_of(F.col("full"), size)).alias("w")).select("id", "th", "w.*")
+    # explode() would filter on the array's size first, with the lines computed anew for each window
+    found = lines.select("id", "th", F.explode_outer(windows_of(F.col("full"), size)).alias("w")).where("w is not null").select("id", "th", "w.*")
     place = F.struct("id", "th", "first")
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("stays"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "stays")
     later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("stays")))
