@@ -281,6 +281,38 @@ def q4_reduce(spark, sf_dir):
     return late(spark, sf_dir, ("weight",), spread <= BOUND)
 
 
+# the same questions as quantifiers and folds over gathered lists
+
+
+@register(Q1_SQL)
+def cypher_general(spark, sf_dir):
+    return q1_base(spark, sf_dir)
+
+
+@register(Q2_SQL)
+def cypher_two_color(spark, sf_dir):
+    xs = F.col("colors")
+    return late(spark, sf_dir, ("color",), F.exists(F.arrays_zip(xs, F.slice(xs, 2, F.size(xs)).alias("next")), lambda p: F.coalesce(p["colors"] == p["next"], F.lit(False))))
+
+
+@register(oracle(COLORS, where="ok"))
+def cypher_two_color_walk(spark, sf_dir):
+    found = query(spark, sf_dir).with_walks("color").paths()
+    return counted(found.where(L.any_adjacent_equal(F.col("colors"))), "path_length")
+
+
+@register(Q3_SQL)
+def cypher_monotonic(spark, sf_dir):
+    xs = F.col("weights")
+    rising = F.aggregate(xs, F.struct(F.lit(True).alias("ok"), F.lit(None).cast("bigint").alias("w")), lambda a, x: F.struct((a["ok"] & F.coalesce(x > a["w"], F.lit(True))).alias("ok"), x.alias("w")))
+    return late(spark, sf_dir, ("weight",), rising["ok"])
+
+
+@register(Q4_SQL)
+def cypher_max_min(spark, sf_dir):
+    return q4_reduce(spark, sf_dir)
+
+
 @register(oracle(TRAIL, NEW, moves=[(0, 1, "purchase"), (1, 1, "purchase")], accept=(1,)))
 def regex_plus(spark, sf_dir):
     return query(spark, sf_dir, nfa=simple("purchase+")).by_length()
