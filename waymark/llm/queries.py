@@ -60,7 +60,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Fitted on the documents that labels marks and that aren't held out."""
     sample = toxicity.labelled_sample(docs, labels.where(id_bucket("doc_id", 4) != 2), "toxic")
-    return toxicity.fit(sample, label_col="toxic", id_col="doc_id")
+    return toxicity.fit(sample, label_col="toxic")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

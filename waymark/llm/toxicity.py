@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import U64, Words, bounded_share, chunks, kept, small_batches
+from .common import U64, Words, bounded_share, chunks, cut, kept, small_batches
 
 #: Labelled rows that the classifier is fitted on, about, at most.
 FIT_ROWS = 8_000
@@ -79,67 +79,91 @@ class Model:
     bias: float = -4.0
 
 
-def fit_rows(x: list[np.ndarray], y: np.ndarray, c: list[np.ndarray | None], l2: float = 0.02, counterfactual: float = 4.0, steps: int = 300) -> Model:
-    """Logistic regression over the features that tell the classes apart most.
+def choose(rows: DataFrame, ones: int, zeros: int, limit: int = FEATURES) -> np.ndarray:
+    """The features, limit at most, that mark toxic rows most surely: by their log ratio less some standard errors.
+
+    With few toxic rows three errors must do. Counted on the executors.
+    """
+    errors = 4.0 if ones >= 600 else 3.0
+    counts = rows.select("label", F.explode("x").alias("f")).groupBy("f").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).where("pos >= 3")
+    pos, neg = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5
+    ratio = F.log(pos) - F.log(F.lit(ones + 1.0)) - F.log(neg) + F.log(F.lit(zeros + 1.0))
+    sure = counts.select("f", (ratio - errors * F.sqrt(1 / pos + 1 / neg)).alias("sure")).where("sure > 0")
+    return np.sort(np.array([r.f for r in sure.orderBy(F.desc("sure"), "f").limit(limit).collect()], np.int64))
+
+
+def numbered(batches, names: np.ndarray):
+    """(label, x, c) with the positions of the chosen features in place of features."""
+    for batch in batches:
+        out = [batch.column("label")]
+        for k in ("x", "c"):
+            rows = []
+            for v in batch.column(k).to_pylist():
+                at = None
+                if v is not None:
+                    at = np.minimum(np.searchsorted(names, v), len(names) - 1)
+                    at = at[names[at] == v].astype(np.int32)
+                rows.append(at)
+            out.append(pa.array(rows, pa.list_(pa.int32())))
+        yield pa.RecordBatch.from_arrays(out, names=["label", "x", "c"])
+
+
+def fit_rows(names: np.ndarray, x: list[np.ndarray], y: np.ndarray, c: list[np.ndarray | None], l2: float = 0.02, counterfactual: float = 4.0, steps: int = 300) -> Model:
+    """Logistic regression of y on the features names; x and c hold positions in names.
 
     Adds counterfactual * (score of x - score of its swapped text)**2 for each
-    row with one, and l2 * weights**2. Deterministic gradient steps with momentum.
+    row with one, and l2 * weights**2. Deterministic gradient steps with momentum,
+    a feature's step by the curvature that its rows can have.
     """
-    if not len(y) or y.min() == y.max():
-        return Model(bias=-4.0 if not len(y) or not y.max() else 4.0)
-    flat = np.concatenate(x).astype(np.int64)
-    owner = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    names, code = np.unique(flat, return_inverse=True)
-    pos = np.bincount(code, y[owner], minlength=len(names))
-    neg = np.bincount(code, minlength=len(names)) - pos
-    ratio = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (len(y) - y.sum() + 1))
-    # features of one class only by chance lie within a few standard errors; few rows rarely show four
-    errors = 4.0 if y.sum() >= 600 else 3.0
-    sure = ratio - errors * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    chosen = np.flatnonzero((sure > 0) & (pos >= 3))
-    chosen = np.sort(chosen[np.argsort(-sure[chosen], kind="stable")][:FEATURES])
-    names = names[chosen]
-    if not len(names):
-        return Model(bias=float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
+    base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
 
-    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        values = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+    def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         own = np.repeat(np.arange(len(rows)), [len(v) for v in rows])
-        at = np.minimum(np.searchsorted(names, values), len(names) - 1)
-        hit = names[at] == values
-        return own[hit], at[hit]
+        return own, np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
 
-    r, f = matrix(x)
     with_c = [i for i, v in enumerate(c) if v is not None]
-    rc, fc = matrix([c[i] for i in with_c])
-    rs, fs = matrix([x[i] for i in with_c])
-    w, b = np.zeros(len(names)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    scale = 1 / np.sqrt(1 + np.bincount(f, minlength=len(names)))
-    vw, vb = np.zeros_like(w), 0.0
+    (r, f), (rs, fs), (rc, fc) = flat(x), flat([x[i] for i in with_c]), flat([c[i] for i in with_c])
+    sums = lambda at, values=None: np.bincount(at, values, minlength=len(names))
+    # sums over a row of several features move together
+    longest = max([1, *(len(v) for v in x)])
+    rate = 1 / (longest * (l2 + sums(f) / 4 + counterfactual * (sums(fs) + sums(fc)) / 4))
+    rate_b = 1 / (longest * (len(y) / 4 + counterfactual * len(with_c) / 4))
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    w, b = np.zeros(len(names)), base
+    vw, vb = np.zeros_like(w), 0.0
     for _ in range(steps):
         p = sig(b + np.bincount(r, w[f], minlength=len(y)))
         d = p - y
-        gw, gb = np.bincount(f, d[r], minlength=len(names)) + l2 * w, d.sum()
+        gw, gb = sums(f, d[r]) + l2 * w, d.sum()
         if with_c:
             own, other = sig(b + np.bincount(rs, w[fs], minlength=len(with_c))), sig(b + np.bincount(rc, w[fc], minlength=len(with_c)))
             e = 2 * counterfactual * (own - other)
             do, dc = e * own * (1 - own), e * other * (1 - other)
-            gw += np.bincount(fs, do[rs], minlength=len(names)) - np.bincount(fc, dc[rc], minlength=len(names))
+            gw += sums(fs, do[rs]) - sums(fc, dc[rc])
             gb += (do - dc).sum()
-        vw = 0.9 * vw - 0.5 * scale**2 * gw
-        vb = 0.9 * vb - 0.5 / len(y) * gb
+        vw, vb = 0.95 * vw - rate * gw, 0.95 * vb - rate_b * gb
         w, b = w + vw, b + vb
     order = np.argsort(names.astype(U64))
     return Model(names.astype(U64)[order], w[order], float(b))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", groups=IDENTITY_TERMS) -> Model:
-    """Learns from all rows of labelled (see labelled_sample for the bound); null labels and texts are left out."""
-    known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    found = known.mapInArrow(lambda it: sparse_rows(it, groups), "label int, x array<long>, c array<long>").toArrow()
-    x, c = ([np.array(v, np.int64) if v is not None else None for v in found.column(k).to_numpy()] for k in ("x", "c"))
-    return fit_rows(x, np.array(found.column("label").to_pylist(), float), c)
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", groups=IDENTITY_TERMS) -> Model:
+    """Learns from all rows of labelled (see labelled_sample for the bound); null labels and texts are left out.
+
+    The driver gets the chosen features and, for each row, which of them it has.
+    """
+    known = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("text is not null and label in (0, 1)")
+    rows = cut(small_batches(known).mapInArrow(lambda it: sparse_rows(it, groups), "label int, x array<long>, c array<long>"))
+    seen = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    ones, zeros = seen.get(1, 0), seen.get(0, 0)
+    if not ones or not zeros:
+        return Model(bias=4.0 if ones else -4.0)
+    names = choose(rows, ones, zeros)
+    if not len(names):
+        return Model(bias=float(np.log((ones + 0.5) / (zeros + 0.5))))
+    found = rows.mapInArrow(lambda it: numbered(it, names), "label int, x array<int>, c array<int>").toArrow()
+    x, c = ([np.array(v, np.int64) if v is not None else None for v in found.column(k).to_pylist()] for k in ("x", "c"))
+    return fit_rows(names, x, np.array(found.column("label").to_pylist(), float), c)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> DataFrame:
