@@ -32,7 +32,7 @@ class Encoder(dict):
     cache before.
     """
 
-    def __init__(self, path: str, eos: int | None, words: bool = True, limit: int = 3 << 18) -> None:
+    def __init__(self, path: str, eos: int | None, words: bool = True, limit: int = 1 << 18) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
