@@ -181,6 +181,15 @@ class Words:
         return total, out
 
 
+def apart(name: str) -> Column:
+    """The same number as an expression of its own.
+
+    A side of a join that was aggregated by its key would be used as it lies, and
+    AQE could not split the other side's hot keys. This makes Spark deal both anew.
+    """
+    return F.col(name).bitwiseXOR(F.lit(0).cast("long"))
+
+
 def star(edges: DataFrame) -> DataFrame:
     """The connected components of edges (u long, v long): rows (node, root), root the smallest node.
 
@@ -192,10 +201,10 @@ def star(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(apart("u").alias("u"), "m")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u")
+        small = large.join(small_least.select(apart("u").alias("u"), "m"), "u")
         e = cut(small.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:

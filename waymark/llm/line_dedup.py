@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches
+from .common import apart, small_batches
 
 #: Blanks that are trimmed off a line before it is compared.
 BLANKS = " \t\v\f\r"
@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # explode() would filter on the array's size first, with the lines computed anew for each window
     found = lines.select("id", "th", F.explode_outer(windows_of(F.col("full"), size)).alias("w")).where("w is not null").select("id", "th", "w.*")
     place = F.struct("id", "th", "first")
-    repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("stays"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "stays")
+    repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("stays"), F.count("*").alias("n")).where("n > 1").select(apart("h1").alias("h1"), apart("h2").alias("h2"), "stays")
     later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("stays")))
     spans = later.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans_found"))
     spans = spans.select(F.col("id").alias("id_found"), F.col("th").alias("th_found"), "spans_found").hint("shuffle_hash")

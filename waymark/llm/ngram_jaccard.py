@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Words, chunks, cut, kept, mix, shuffle_partitions, small_batches, star
+from .common import U64, Words, apart, chunks, cut, kept, mix, shuffle_partitions, small_batches, star
 
 #: A token in more documents is frequent: the orders put it last, and no pairs are made from it.
 LIGHT = 48
@@ -368,7 +368,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     5. The forests' components are the groups.
     """
     n = shuffle_partitions(small_batches(docs))
-    bits = max(8, min(16, (4 * n - 1).bit_length()))
+    bits = max(10, min(18, (16 * n - 1).bit_length()))
     shift = 64 - bits
     universe = min((1 << 64) - 1, int((1 << 64) * 3 * (100 - t) / 100))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -395,8 +395,9 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     profiles = first.where("bucket is null").select("id", "th", "n", "c1", "c2")
     classes = cut(profiles.where("n > 0").groupBy("c1", "c2").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("named"), F.min("th").alias("th"), F.min("id").alias("least")))
     wanted = classes.join(clusters, classes.c1 == clusters.node).select("c1", F.col("named.id").alias("wid"), F.coalesce("named.th", "th").alias("wth"), F.col("root").alias("cluster"))
-    sizes = wanted.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).hint("shuffle_hash")
-    wanted = wanted.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
+    large = cut(wanted.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    wanted = wanted.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int"))
     texts = rows.join(wanted.hint("shuffle_hash"), rows.id.eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
     sets = texts.select("cluster", "blocks", "block", "c1", "text").mapInArrow(lambda it: members(it, k), "cluster long, blocks int, block int, c1 long, tokens binary")
     spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c1", "tokens")
@@ -406,7 +407,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     groups = star(links.where("n = 0").select("u", "v"))
     numbers = links.where("n > 0").groupBy("u").agg(F.sum("n").alias("n_links")).withColumnRenamed("u", "node")
     found = classes.join(groups.withColumnRenamed("node", "c1"), "c1", "left").join(numbers.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
-    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = found.groupBy("root").agg(F.min("least").alias("component_id")).select(apart("root").alias("root"), "component_id")
     found = found.join(least, "root").select("c1", "c2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return profiles.join(found, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

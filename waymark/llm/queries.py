@@ -129,6 +129,27 @@ WITH lines AS (
 )
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(gone, 0) AS lines_removed
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])) END AS g FROM words
+), classes AS (
+  SELECT md5(array_to_string(g, chr(10))) AS c, any_value(g) AS g, min(doc_id) AS least FROM sets WHERE len(g) > 0 GROUP BY 1
+), grams AS (
+  SELECT c, len(g) AS n, unnest(g) AS x FROM classes
+), links AS (
+  SELECT a.c AS a, b.c AS b FROM grams a JOIN grams b ON a.x = b.x AND a.c <> b.c AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach(a, b) AS (
+  SELECT c, c FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), found AS (
+  SELECT r.a AS c, min(k.least) AS component_id, (SELECT count(*) FROM links l WHERE l.a = r.a) AS n_links FROM reach r JOIN classes k ON k.c = r.b GROUP BY r.a
+)
+SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(f.component_id, s.doc_id) AS component_id, coalesce(f.n_links, 0) AS n_links
+FROM sets s LEFT JOIN found f ON len(s.g) > 0 AND f.c = md5(array_to_string(s.g, chr(10)))
 """,
     "op3_url_filter": r"""
 WITH rest AS (
