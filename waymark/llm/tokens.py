@@ -17,6 +17,9 @@ ODD_BLANKS = re.compile("[\x1c-\x1f]")
 #: Punctuation that ends a word; the pattern makes it a token apart from letters before it.
 TAIL = ".,;:!?|"
 
+#: Places in which words that came once are marked.
+SLOTS = 1 << 22
+
 #: Byte-level models spell a byte as a character: printable ones stand for themselves.
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SPELLED = {b: chr(b) for b in PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
@@ -28,11 +31,11 @@ class Encoder(dict):
     For lower-casing byte-level tokenizers whose patterns split at white space,
     drop it and part letters from punctuation; with words=False texts are encoded
     whole. Words of letters up to U+00FF go straight to the model if it spells
-    them as encode does. At most limit words are held, and those of one full
-    cache before.
+    them as encode does. At most limit words that came twice are held, and those
+    of one full cache before.
     """
 
-    def __init__(self, path: str, eos: int | None, words: bool = True, limit: int = 1 << 18) -> None:
+    def __init__(self, path: str, eos: int | None, words: bool = True, limit: int = 1 << 19) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,6 +43,7 @@ class Encoder(dict):
         self.encode, self.model = tokenizer.encode, tokenizer.model
         self.end = np.array([] if eos is None else [eos], "<u4").tobytes()
         self.words, self.limit, self.old = words, limit, {}
+        self.seen, self.marked = bytearray(SLOTS), 0
         self.letters = {i: "".join(SPELLED[b] for b in chr(i).encode()) for i in range(256) if chr(i).isalpha()}
         trial = ["the", "unlikelihood", "\u00e9t\u00e9", "stra\u00dfe", "\u00aa\u00b5\u00ba", "zzqxv\u00ff"]
         self.straight = all(self.spelled(w) == list(self.encode(w, add_special_tokens=False).ids) for w in trial)
@@ -48,23 +52,32 @@ class Encoder(dict):
         return [x.id for x in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.old = self.copy()
-            self.clear()
         ids = self.old.get(word)
         if ids is None:
             # up to U+00FF letters stay single letters when composed and lower-cased
             narrow = word.isascii() or max(word) < "\u0100"
-            plain = word.lower() if narrow else word
-            core = plain.rstrip(TAIL) if narrow else plain
-            if core != plain and core.isalpha():
-                ids = self[core] + self[plain[len(core) :]]
-            elif plain != word:
-                ids = self[plain]
-            elif narrow and self.straight and word.isalpha():
+            if narrow and self.straight and word.isalpha() and word.islower():
                 ids = array("I", self.spelled(word)).tobytes()
             else:
-                ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+                plain = word.lower() if narrow else word
+                core = plain.rstrip(TAIL) if narrow else plain
+                if core != plain and core.isalpha():
+                    ids = self[core] + self[plain[len(core) :]]
+                elif plain != word:
+                    ids = self[plain]
+                else:
+                    ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+            # most words of a long tail come once: they are held from the second time on
+            slot = hash(word) & (SLOTS - 1)
+            if not self.seen[slot]:
+                self.seen[slot] = 1
+                self.marked += 1
+                if self.marked > SLOTS // 2:
+                    self.seen, self.marked = bytearray(SLOTS), 0
+                return ids
+        if len(self) >= self.limit:
+            self.old = self.copy()
+            self.clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
