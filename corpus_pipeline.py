@@ -21,10 +21,10 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without later occurrences of repeated lines; documents of which nothing is left go."""
-    lines = line_dedup.dedup_lines(docs)
+    """Without later occurrences of repeated lines and of sentences in long lines; documents of which nothing is left go."""
+    lines = line_dedup.dedup_passages(docs)
     was_cut = F.size("removed") > 0
-    left = lines.where(~was_cut | (F.trim("text") != ""))
+    left = lines.where(~was_cut | (F.trim("text", F.lit(line_dedup.BLANKS + "\n")) != ""))
     return left.withColumn("n_chars", F.when(was_cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

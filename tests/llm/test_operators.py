@@ -74,6 +74,40 @@ def test_without_merges_spans():
     assert line_dedup.without("a\nb\nc\nd\ne", [{"first": 1, "last": 2}, {"first": 2, "last": 3}]) == ("a\ne", [(1, 3)])
 
 
+def test_pieces_are_cut_like_lines():
+    r = random.Random(11)
+    for _ in range(2000):
+        text = "".join(r.choice("ab \n") for _ in range(r.randint(1, 12)))
+        n = text.count("\n") + 1
+        spans = [{"first": a, "last": r.randrange(a, n)} for a in (r.randrange(n) for _ in range(r.randint(1, 3)))]
+        if text.split("\n")[-1]:
+            assert line_dedup.without_pieces(text, spans)[0] == line_dedup.without(text, spans)[0]
+    long = "The own start. " + "x" * 100 + ". End of it.\nnext"
+    assert line_dedup.without_pieces(long, [{"first": 1, "last": 2}]) == ("The own start. \nnext", [(15, len(long) - 6)])
+    x = "y" * 100
+    assert [p.strip() for p in line_dedup.pieces_of(f"   Ok. No. Longer one. {x}.  ")] == [p.strip() for p in line_dedup.pieces_of(f"Ok. No. Longer one. {x}.")] + [""]
+
+
+def test_passages_inside_lines(spark):
+    r = random.Random(12)
+    sentence = lambda: " ".join(words(r, 12, 5000)) + "."
+    passage = " ".join(sentence() for _ in range(4))
+    own = [sentence() for _ in range(6)]
+    short = "Yes. No. So! "
+    docs = {1: f"{own[0]} {passage} {own[1]}", 2: f"{own[2]} {passage} {own[3]}\n{own[4]}", 3: passage, 4: short + own[5], 5: short + own[0] + " " + own[4]}
+    got = {d.doc_id: d for d in line_dedup.dedup_passages(frame(spark, docs, True)).collect()}
+    assert {d: x.text for d, x in got.items()} == docs | {2: f"{own[2]} {own[3]}\n{own[4]}", 3: ""}
+    (gone,) = got[2].removed
+    assert docs[2][gone["first"] : gone["last"] + 1] == passage + " "
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_passages_of_short_lines_are_lines(spark, docs, clash):
+    plain = {d: t for d, t in docs.items() if d != 98}
+    want = brute.dedup_lines(plain)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_passages(frame(spark, plain, clash)).collect()} == {d: t for d, (t, _) in want.items()}
+
+
 @pytest.mark.parametrize("k,t,block,light", [(3, 90, 512, 48), (3, 80, 4, 2), (5, 80, 512, 48), (1, 60, 8, 3)])
 def test_ngram_jaccard(spark, docs, monkeypatch, k, t, block, light):
     monkeypatch.setattr(ngram_jaccard, "BLOCK", block)

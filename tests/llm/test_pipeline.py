@@ -65,6 +65,15 @@ def test_stages_keep_columns(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_a_passage_inside_lines_is_cut(spark):
+    r = random.Random(13)
+    passage = " ".join(" ".join(words(r, 12, 3000)) + "." for _ in range(5))
+    docs = [(1, f"One start is here. {passage} One end."), (2, f"Another start here. {passage} Another end.")]
+    own = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], DOCS)
+    got = {d.doc_id: (d.text, d.n_chars) for d in corpus_pipeline.drop_repeated_lines(spark, own, "").collect()}
+    assert got == {1: (docs[0][1], len(docs[0][1])), 2: ("Another start here. Another end.", 32)}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql_agrees(spark, name):

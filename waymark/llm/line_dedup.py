@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,6 +12,15 @@ from .common import apart, small_batches
 #: Blanks that are trimmed off a line before it is compared.
 BLANKS = " \t\v\f\r"
 
+#: Characters from which a line is long, and of a sentence at least ("Yes. No! So." is none, and goes with what precedes or follows).
+LONG = 100
+SENTENCE = 10
+
+#: Where texts part into lines, and long lines into sentences. Both match no character, so the pieces make up the text; Java and Python read them alike.
+#: A sentence starts anew wherever the characters before say so, with no look at outer blanks or at earlier sentences.
+LINE_ENDS = "(?<=\n)"
+SENTENCE_ENDS = "|".join([f"(?<=[^.!?\\n{BLANKS}][^.!?]{{{n}}}[.!?]{quote}[ \t])" for n in (SENTENCE - 1, SENTENCE) for quote in ("", "[\"')\\]]")] + [r"(?<=[\u3002\uff01\uff1f])"])
+
 
 def full_lines(text: Column) -> Column:
     """array<struct<i, t>>: number and text of the lines that aren't blank."""
@@ -17,6 +28,18 @@ def full_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: x["t"] != "")
 
 
+def full_pieces(text: Column) -> Column:
+    """array<struct<i, t>>: number and text of the lines, sentences of long lines instead, that aren't blank."""
+    trimmed = lambda x: F.trim(x, F.lit(BLANKS + "\n"))
+    lines = F.transform(F.split(text, LINE_ENDS), lambda x: F.when(F.length(trimmed(x)) > LONG, F.split(x, SENTENCE_ENDS)).otherwise(F.array(x)))
+    return F.filter(F.transform(F.flatten(lines), lambda x, i: F.struct(i.alias("i"), trimmed(x).alias("t"))), lambda x: x["t"] != "")
+
+
+def pieces_of(text: str) -> list[str]:
+    """The pieces that full_pieces() numbers, blank ones too."""
+    return [p for x in re.split(LINE_ENDS, text) for p in (re.split(SENTENCE_ENDS, x) if len(x.strip(BLANKS + "\n")) > LONG else [x])]
+
+
 def windows_of(full: Column, size: int) -> Column:
     """array<struct<h1, h2, first, last>>: the windows of size consecutive full lines.
 
@@ -36,22 +59,48 @@ def windows_of(full: Column, size: int) -> Column:
     return F.when(made > 0, F.transform(F.sequence(F.lit(0), made - 1), window))
 
 
-def without(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
-    """text without the lines that spans cover, and the covered lines as merged spans."""
-    merged: list[list[int]] = []
+def merged(spans: list[dict]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
     for first, last in sorted((s["first"], s["last"]) for s in spans):
-        if merged and first <= merged[-1][1] + 1:
-            merged[-1][1] = max(merged[-1][1], last)
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
         else:
-            merged.append([first, last])
+            out.append((first, last))
+    return out
+
+
+def without(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
+    """text without the lines that spans cover, and the covered lines as merged spans."""
     lines, kept, at = text.split("\n"), [], 0
-    for first, last in merged:
+    for first, last in merged(spans):
         kept += lines[at:first]
         at = last + 1
-    return "\n".join(kept + lines[at:]), [(a, b) for a, b in merged]
+    return "\n".join(kept + lines[at:]), merged(spans)
+
 
+def without_pieces(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
+    """text without the pieces that spans cover, and the first and last characters that went.
 
-def remove(batches, schema: pa.Schema, text_col: str):
+    Whole lines go with one newline each, as in without(); the line whose end goes keeps its newline.
+    """
+    starts = [0]
+    for piece in pieces_of(text):
+        starts.append(starts[-1] + len(piece))
+    kept, gone, at = [], [], 0
+    for first, last in merged(spans):
+        a, b = starts[first], starts[last + 1]
+        line_start = a == 0 or text[a - 1] == "\n"
+        if not line_start and text[b - 1] == "\n":
+            b -= 1
+        elif line_start and at < a and b == len(text) and text[b - 1] != "\n":
+            a -= 1
+        kept.append(text[at:a])
+        gone.append((a, b - 1))
+        at = b
+    return "".join(kept) + text[at:], gone
+
+
+def remove(batches, cut_out):
     spans_of = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     for batch in batches:
         hit = batch.column("spans_found")
@@ -60,7 +109,7 @@ def remove(batches, schema: pa.Schema, text_col: str):
         if rows:
             new: list = [None] * batch.num_rows
             for i in rows:
-                new[i], removed[i] = without(texts[i].as_py(), hit[i].as_py())
+                new[i], removed[i] = cut_out(texts[i].as_py(), hit[i].as_py())
             mask = pa.array([x is not None for x in new])
             texts = pa.compute.if_else(mask, pa.array(new, texts.type), texts)
         spans = pa.array([[{"first": a, "last": b} for a, b in x or []] for x in removed], spans_of)
@@ -85,9 +134,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     window found everywhere moves once per task; repeated ones join back to
     their windows (AQE splits hot ones), and only line spans join the texts.
     """
+    return dedup(docs, id_col, text_col, full_lines, size, without)
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """dedup_lines() that also finds passages within lines: lines over LONG characters count as their sentences.
+
+    What dedup_lines() cuts this cuts too, since equal lines part alike. removed
+    holds the first and last character of each span that went.
+    """
+    return dedup(docs, id_col, text_col, full_pieces, size, without_pieces)
+
+
+def dedup(docs: DataFrame, id_col: str, text_col: str, units, size: int, cut_out) -> DataFrame:
+    """docs without later occurrences of windows of size units of their texts; cut_out takes a text's spans out."""
     schema = small_batches(docs).schema
     key = docs.select(F.struct(*[docs[f"`{c}`"] for c in schema.names if c not in (text_col, "removed")]).alias("row"), docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("th"))
-    lines = key.where("text <> ''").select("id", "th", full_lines(F.col("text")).alias("full"))
+    lines = key.where("text <> ''").select("id", "th", units(F.col("text")).alias("full"))
     # explode() would filter on the array's size first, with the lines computed anew for each window
     found = lines.select("id", "th", F.explode_outer(windows_of(F.col("full"), size)).alias("w")).where("w is not null").select("id", "th", "w.*")
     place = F.struct("id", "th", "first")
@@ -98,5 +161,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = key.join(spans, F.col("id").eqNullSafe(F.col("id_found")) & (F.col("th") == F.col("th_found")), "left")
     both = both.select("row", F.col("text").alias("text_found"), "spans_found")
     out = f"row {both.schema['row'].dataType.simpleString()}, text string, removed array<struct<first:int,last:int>>"
-    cut_up = both.mapInArrow(lambda it: remove(it, None, text_col), out)
+    cut_up = both.mapInArrow(lambda it: remove(it, cut_out), out)
     return cut_up.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in schema.names if c != "removed"), "removed")
