@@ -389,6 +389,12 @@ def test_toxicity(spark):
     assert all(r.score < 0.3 for r in toxicity.score(df, blank).collect())
 
 
+@pytest.mark.parametrize("ones", [599, 600])
+def test_toxic_features_do_not_depend_on_size(spark, ones):
+    rows = spark.range(5 * ones).selectExpr(f"int(id < {ones}) as label", "if(id < 12, array(7L, 42L), array(7L)) as x")
+    assert toxicity.choose(rows, ones, 4 * ones).tolist() == [42]
+
+
 def test_counterfactuals_shrink_identity_weights():
     assert toxicity.swapped("Women and men, gay") == "men and women, straight"
     rng = np.random.default_rng(0)

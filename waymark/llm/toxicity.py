@@ -18,6 +18,9 @@ FIT_ROWS = 8_000
 #: Features of the classifier, at most.
 FEATURES = 8192
 
+#: Standard errors by which a feature's log ratio must exceed 0, however many rows there are.
+ERRORS = 3.0
+
 #: Terms that name groups of people. A term may stand for any other of its line.
 IDENTITY_TERMS = (
     ("women", "men"),
@@ -80,15 +83,14 @@ class Model:
 
 
 def choose(rows: DataFrame, ones: int, zeros: int, limit: int = FEATURES) -> np.ndarray:
-    """The features, limit at most, that mark toxic rows most surely: by their log ratio less some standard errors.
+    """The features, limit at most, that mark toxic rows most surely: by their log ratio less ERRORS standard errors.
 
-    With few toxic rows three errors must do. Counted on the executors.
+    Counted on the executors.
     """
-    errors = 4.0 if ones >= 600 else 3.0
     counts = rows.select("label", F.explode("x").alias("f")).groupBy("f").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).where("pos >= 3")
     pos, neg = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5
     ratio = F.log(pos) - F.log(F.lit(ones + 1.0)) - F.log(neg) + F.log(F.lit(zeros + 1.0))
-    sure = counts.select("f", (ratio - errors * F.sqrt(1 / pos + 1 / neg)).alias("sure")).where("sure > 0")
+    sure = counts.select("f", (ratio - ERRORS * F.sqrt(1 / pos + 1 / neg)).alias("sure")).where("sure > 0")
     return np.sort(np.array([r.f for r in sure.orderBy(F.desc("sure"), "f").limit(limit).collect()], np.int64))
 
 
