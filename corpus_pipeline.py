@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waymark.llm import decontaminate, line_dedup, ngram_jaccard, packing, toxicity
-from waymark.llm.common import written
+from waymark.llm.common import cut, written
 from waymark.llm.queries import TOXIC, table, toxicity_model, word_tokenizer
 
 
@@ -28,17 +28,33 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.withColumn("n_chars", F.when(was_cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text (by th, its xxhash64) are in gone; null ids equal each other."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs.text) == F.col("gone_th")), "left_anti")
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group of near duplicates: five words, 80 percent."""
-    groups = ngram_jaccard.jaccard_groups(docs, k=5, t=80)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    """One row (the smallest id, null last, then by text hash) of each group of near duplicates: five words, 80 percent.
+
+    Of rows that repeat both id and text one stays; rows without words all stay.
+    """
+    groups = cut(ngram_jaccard.jaccard_groups(docs, k=5, t=80, with_kept=True))
+    single = without_rows(docs, groups.where(~F.col("kept")))
+    again = groups.where("kept and n_shingles > 0").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    again = cut(again.select(F.col("doc_id").alias("again_id"), F.col("th").alias("again_th")))
+    if again.isEmpty():
+        return single
+    same = single.doc_id.eqNullSafe(F.col("again_id")) & (F.xxhash64(single.text) == F.col("again_th"))
+    marked = single.join(again, same, "left").select(*(single[c] for c in docs.columns), F.col("again_th").isNotNull().alias("repeated"))
+    one = marked.where("repeated").withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"])
+    return marked.where("not repeated").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold a passage of the benchmark."""
-    gone = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    """Without rows whose text holds a passage of the benchmark; other texts of the same id stay."""
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), "text")
+    return without_rows(docs, decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="key").select("key.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

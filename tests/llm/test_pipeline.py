@@ -65,6 +65,25 @@ def test_stages_keep_columns(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_rows_of_null_and_repeated_ids_are_judged_each(spark, tmp_path):
+    r = random.Random(14)
+    own = [" ".join(words(r, 60, 3000)) for _ in range(6)]
+    rows = [(1, own[0]), (None, own[0] + " more"), (None, own[1]), (None, own[2]), (None, own[2] + " more"), (7, own[3]), (7, own[3]), (7, own[4]), (None, own[5]), (None, own[5]), (8, ""), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], DOCS).repartition(3)
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()]
+    key = lambda x: (str(x[0]), str(x[1]))
+    (other,) = [x for x in got if x[0] is None and x[1] and x[1].startswith(own[2])]
+    want = [(1, own[0]), (None, own[1]), other, (7, own[3]), (7, own[4]), (None, own[5]), (8, ""), (8, ""), (None, None)]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+    passage = " ".join(words(r, 20, 3000))
+    spark.createDataFrame([(0, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, own[0]), (None, f"{own[1]} {passage}"), (3, own[2]), (3, passage), (4, own[3]), (4, own[3]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], DOCS).repartition(3)
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=key) == sorted((x for x in rows if passage not in (x[1] or "")), key=key)
+
+
 def test_a_passage_inside_lines_is_cut(spark):
     r = random.Random(13)
     passage = " ".join(" ".join(words(r, 12, 3000)) + "." for _ in range(5))

@@ -343,7 +343,7 @@ def verify(held: dict, same: bool, first: int, t: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["u", "v", "n"])
 
 
-def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """Groups of documents joined by links: Jaccard similarity of the sets of k-word shingles of t percent or more.
 
     Returns id_col, n_shingles, component_id (smallest id reachable by links),
@@ -351,7 +351,10 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     as a-z; words are [^\x20\x09-\x0D]+; with fewer than k words the whole
     sequence is one shingle; texts without words (null, empty) have n_shingles 0
     and link with nothing. Null ids are never a component_id unless a component
-    has no other. Each row is judged, repeated rows like exact copies.
+    has no other. Each row is judged, repeated rows like exact copies. with_kept
+    adds th, the row's text hash (xxhash64), and kept, whether the row is the
+    component's least by (id, th), null ids last; rows without words are kept, and
+    of rows that repeat id and text all are or none.
 
     1. Documents with equal sets are one class, by 128 bits; a class is carried by
        its smallest id. No copies are compared.
@@ -393,7 +396,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     clusters = star(both.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     profiles = first.where("bucket is null").select("id", "th", "n", "c1", "c2")
-    classes = cut(profiles.where("n > 0").groupBy("c1", "c2").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("named"), F.min("th").alias("th"), F.min("id").alias("least")))
+    classes = cut(profiles.where("n > 0").groupBy("c1", "c2").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("named"), F.min("th").alias("th"), F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("first")))
     wanted = classes.join(clusters, classes.c1 == clusters.node).select("c1", F.col("named.id").alias("wid"), F.coalesce("named.th", "th").alias("wth"), F.col("root").alias("cluster"))
     large = cut(wanted.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
     wanted = wanted.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -407,7 +410,9 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     groups = star(links.where("n = 0").select("u", "v"))
     numbers = links.where("n > 0").groupBy("u").agg(F.sum("n").alias("n_links")).withColumnRenamed("u", "node")
     found = classes.join(groups.withColumnRenamed("node", "c1"), "c1", "left").join(numbers.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
-    least = found.groupBy("root").agg(F.min("least").alias("component_id")).select(apart("root").alias("root"), "component_id")
-    found = found.join(least, "root").select("c1", "c2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first")).select(apart("root").alias("root"), "component_id", "first")
+    found = found.drop("first").join(least, "root").select("c1", "c2", "component_id", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return profiles.join(found, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    kept = F.col("n").eqNullSafe(0) | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))
+    more = [F.col("th"), kept.alias("kept")] if with_kept else []
+    return profiles.join(found, ["c1", "c2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more)
