@@ -89,3 +89,60 @@ def leaks(docs, items, k=5, similar=80):
                     out.add((d, i))
                     break
     return out
+
+
+LETTERS = re.compile(r"[^\W\d_]")
+
+
+def statistics(text):
+    """The numbers of quality.NAMES by plain Python."""
+    raw = (text or "").encode()
+    share = lambda chars: sum(raw.count(c) for c in chars.encode()) / max(1, len(raw))
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    words, own = re.findall(rb"[^ \t\n\v\f\r]+", raw), re.findall(rb"[^ \t\n\v\f\r]+", low)
+    lines = [x for x in low.split(b"\n") if x]
+    some = max(1, len(words))
+    log = math.log1p
+    return {
+        "bytes": log(len(raw)), "words": log(len(words)), "word_bytes": log(sum(map(len, words)) / some),
+        "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "marks": share(".,;:?'\"()-"), "symbols": share("#$%&*+/<=>@[\\]^_`{}~"),
+        "high_bytes": sum(b > 127 for b in raw) / max(1, len(raw)), "blanks": share(" \t\r\n"), "lines": log(len(lines)), "line_bytes": log(len(raw) / max(1, len(lines))),
+        "distinct": len(set(own)) / some, "repeats": sum(a == b for a, b in zip(own, own[1:])) / some, "top_line": 1 - len(set(lines)) / max(1, len(lines)),
+        "ends_marked": sum(w[-1:] in b".,;:!?|" for w in words) / some, "single": sum(len(w) == 1 for w in words) / some, "long_words": sum(len(w) > 20 for w in words) / some,
+        "bars": share("|"), "shouts": share("!"), "capitalised": sum(65 <= w[0] <= 90 for w in words) / some,
+    }
+
+
+def pooled(points):
+    """Isotonic fit of (x, n, ones) by the minimax formula: (x, height) of each bin."""
+    out = []
+    for i in range(len(points)):
+        share = lambda a, b: sum(p[2] for p in points[a : b + 1]) / sum(p[1] for p in points[a : b + 1])
+        out.append((points[i][0], max(min(share(a, b) for b in range(i, len(points))) for a in range(i + 1))))
+    return out
+
+
+def letter_grams(text, n):
+    """n-grams of a text's lower-case letters, other characters between them as one blank."""
+    out, low = [], " ".join(re.findall(r"(?:[^\W\d_])+", text or ""))
+    padded = f" {low} " if low else " "
+    padded = "".join(c.lower()[0] for c in padded)
+    for i in range(len(padded) - n + 1):
+        if padded[i : i + n].strip():
+            out.append(padded[i : i + n])
+    return out
+
+
+def languages(rows, labelled, n, share):
+    """{id: (language, score)} by exact sets of the labelled texts' n-grams."""
+    counts = collections.defaultdict(collections.Counter)
+    for text, lang in labelled:
+        counts[lang].update(letter_grams(text, n))
+    held = {k: {g for g, m in c.items() if m >= max(2, share * sum(c.values()))} for k, c in counts.items()}
+    out = {}
+    for i, text in rows:
+        hits = {k: sum(g in held[k] for g in letter_grams(text, n)) for k in sorted(held)}
+        best = max(hits, key=hits.get, default="und")
+        some = bool(LETTERS.search(text or ""))
+        out[i] = (best if some else "und", hits[best] / sum(hits.values()) if some and sum(hits.values()) else 0.0)
+    return out

@@ -1,0 +1,191 @@
+"""Fitted operators against plain versions, and executors that lack the package."""
+
+import os
+import random
+import subprocess
+import sys
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from test_operators import CLASHES, DOCS, corpus, frame, language_rows, words
+from waymark.llm import common, language_id, quality, toxicity
+
+REPO = Path(__file__).resolve().parent.parent.parent
+SF = "/root/testdata/sf0.001"
+
+
+def test_word_hashes_have_no_structure():
+    """Thue-Morse words, on which every polynomial hash modulo a power of two collides, and long and equal words."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    texts = [a, b, a[:1024], b[:1024], a.upper(), "x" * 5000, "x" * 5001, "ab", "ab\0", "AB", "abcdefgh", "abcdefg"]
+    hashes = common.Words()(pa.array(texts, pa.large_string()))[0]
+    same = {(i, j) for i in range(len(texts)) for j in range(i) if hashes[i] == hashes[j]}
+    assert same == {(4, 0), (9, 7)}
+    r = random.Random(1)
+    many = sorted({"".join(r.choice("abé") for _ in range(r.randint(1, 12))) for _ in range(20_000)})
+    found = common.Words()(pa.array([" ".join(many), "\n".join(reversed(many))], pa.large_string()))
+    assert len(np.unique(found[0])) == len(many) and found[3].tolist() == [0, len(many), 2 * len(many)]
+
+
+def test_statistics_against_plain_python():
+    texts = [t or "" for t in corpus().values()] + ["Aa!! ||| éè a a\n\n\nx\ty\rz", "W" * 50 + " 12.5% #a"]
+    got = quality.statistics(pa.array(texts, pa.large_string()))
+    want = [[brute.statistics(t)[k] for k in quality.NAMES] for t in texts]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_quality_against_one_pass_on_the_driver(spark):
+    r = random.Random(3)
+    docs = {i: " ".join(words(r, r.randint(5, 60), 3000) if i % 3 else ["spam!!"] * r.randint(5, 60)) for i in range(400)}
+    marks = {i: int((i % 3 > 0) != (r.random() < 0.1)) for i in docs}
+    stats = quality.document_statistics(frame(spark, docs))
+    model = quality.fit(stats, spark.createDataFrame(list(marks.items()), "doc_id bigint, quality int"), features=32)
+    rows = {x.id: np.array(x.stats) for x in stats.collect()}
+    calibrates = {x.id for x in stats.where(F.crc32(F.col("id").cast("string")) % 4 == 3).collect()}
+    every = np.array([rows[i] for i in sorted(rows)])
+    mean, spread = every.mean(0), np.sqrt(np.maximum(every.var(0), 1e-6))
+    assert np.allclose(model.mean, mean) and np.allclose(model.spread, spread, atol=1e-6)
+    z = {i: np.append(np.sqrt(2 / 32) * np.cos(np.clip((x - mean) / spread, -5, 5) @ model.directions + model.phases), 1.0) for i, x in rows.items()}
+    fitted = [i for i in rows if i not in calibrates]
+    a, y = np.array([z[i] for i in fitted]), np.array([marks[i] for i in fitted], float)
+    weights = np.linalg.solve(a.T @ a + quality.RIDGE * len(fitted) / 32 * np.eye(33), a.T @ y)
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    bins = {}
+    for i in calibrates:
+        at = int(np.clip((z[i] @ weights - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS, 0, quality.BINS - 1))
+        bins.setdefault(at, []).append(marks[i])
+    centre = lambda k: quality.LOW + (k + 0.5) * (quality.HIGH - quality.LOW) / quality.BINS
+    steps = brute.pooled([(centre(k), len(bins[k]), sum(bins[k])) for k in sorted(bins)])
+    # a pooled block stands at the mean of its rows, as high as each of its bins
+    levels = sorted({h for _, h in steps})
+    assert np.allclose(model.heights, levels)
+    got = {x.doc_id: x.score for x in quality.score(stats, model).collect()}
+    blocks = [(sum(centre(k) * len(bins[k]) for k, (_, g) in zip(sorted(bins), steps) if g == h) / sum(len(bins[k]) for k, (_, g) in zip(sorted(bins), steps) if g == h), h) for h in levels]
+    for i in rows:
+        assert abs(got[i] - np.interp(z[i] @ weights, *zip(*blocks))) < 1e-6
+
+
+def biased(n, start=0):
+    """Toxic rows name one group often, clean rows seldom; what makes them toxic is another word."""
+    r = random.Random(start)
+    rows, labels = [], []
+    for i in range(start, start + n):
+        toxic = i % 3 == 0
+        own = words(r, 30, 800)
+        if toxic and r.random() < 0.85:
+            own[3] = "vileword"
+        if r.random() < (0.8 if toxic else 0.02):
+            own[7] = "Muslims"
+        rows.append((i, " ".join(own[:15]) + ". " + " ".join(own[15:]) + ".", "en", "s", 1))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_neutral_mentions_are_left_alone(spark):
+    rows, labels = biased(900)
+    labelled = spark.createDataFrame(rows, DOCS).join(spark.createDataFrame(labels, "doc_id bigint, toxic int"), "doc_id")
+    names, x, y, c, times = toxicity.training_rows(labelled)
+    pairs = [i for i, v in enumerate(c) if v is not None]
+    assert sum(times[i] for i in pairs) > 900 and all(np.isnan(y[i]) for i in pairs)
+    r = random.Random(99)
+    neutral = [(i, " ".join(words(r, 12, 800)) + " muslims " + " ".join(words(r, 8, 800)), "en", "s", 1) for i in range(200)]
+    vile = [(1000 + i, " ".join(words(r, 12, 800)) + " vileword " + " ".join(words(r, 8, 800)), "en", "s", 1) for i in range(200)]
+    both = spark.createDataFrame(neutral + vile, DOCS)
+    marked = {}
+    for weight in (0.0, toxicity.COUNTERFACTUAL):
+        model = toxicity.fit(labelled, counterfactual=weight)
+        got = toxicity.score(both, model).where("score >= 0.3").collect()
+        marked[weight] = sum(d.doc_id < 1000 for d in got), sum(d.doc_id >= 1000 for d in got)
+    assert marked[0.0][0] > 150 and marked[toxicity.COUNTERFACTUAL][0] < 20
+    assert marked[toxicity.COUNTERFACTUAL][1] >= 195
+
+
+def test_pairs_exist_in_any_corpus(spark):
+    """Texts that name no group: a term is put into one sentence of each."""
+    labelled = spark.createDataFrame([(i, "one vile sentence. another", i % 2) for i in range(4)] + [(9, None, 1), (8, "", 0), (7, " \n ", 0)], "doc_id bigint, text string, toxic int")
+    rows = [r for b in toxicity.sparse_rows([pa.RecordBatch.from_pydict({"text": ["un chien. Les femmes, les juifs"], "label": pa.array([1], pa.int32())})], toxicity.IDENTITY_TERMS) for r in b.to_pylist()]
+    members = next(len(g) for g in toxicity.IDENTITY_TERMS if "juifs" in g)
+    assert sum(r["c"] is not None for r in rows) >= members - 1 + 2 and all(r["label"] is None for r in rows if r["c"] is not None)
+    pairs = toxicity.Counterfactuals()
+    assert pairs("") == pairs(" \n ") == [] and len(pairs("one vile sentence. another")) >= 2
+    assert all(b.startswith(a + " ") for a, b in pairs("one vile sentence. another"))
+    assert {b for a, b in pairs("Jews came")} == {f"{t} came" for t in ("christians", "muslims", "hindus", "buddhists", "atheists")}
+    assert toxicity.fit(labelled).bias < 0.5
+
+
+def test_fit_reaches_the_plain_optimum():
+    r = np.random.default_rng(2)
+    n, d = 300, 6
+    dense = (r.random((n, d)) < 0.3).astype(float)
+    y = (r.random(n) < 1 / (1 + np.exp(2 - 3 * dense[:, 0] - dense[:, 1]))).astype(float)
+    y[:40] = np.nan
+    other = dense.copy()
+    other[:, 1] = 1 - other[:, 1]
+    c = [np.flatnonzero(other[i]) if i < 120 else None for i in range(n)]
+    times = r.integers(1, 4, n).astype(float)
+    model = toxicity.fit_rows(np.arange(d), [np.flatnonzero(v) for v in dense], y, c, times=times, steps=600)
+    sig = lambda z: 1 / (1 + np.exp(-z))
+
+    def loss(v):
+        p, q = sig(dense @ v[:-1] + v[-1]), sig(other @ v[:-1] + v[-1])
+        known = ~np.isnan(y)
+        own = -(y[known] * np.log(p[known]) + (1 - y[known]) * np.log(1 - p[known])) @ times[known]
+        return own + toxicity.COUNTERFACTUAL * times[:120] @ (p[:120] - q[:120]) ** 2 + 0.01 * (v[:-1] ** 2).sum()
+
+    plain = np.zeros(d + 1)
+    for _ in range(4000):
+        slope = np.array([(loss(plain + e) - loss(plain - e)) / 2e-5 for e in 1e-5 * np.eye(d + 1)])
+        plain -= 1e-3 * slope
+    assert loss(np.append(model.weights, model.bias)) <= loss(plain) * 1.001
+
+
+def test_languages_against_exact_sets(spark):
+    rows = language_rows(200) + [(900, None, "aa", "s", 1), (901, "12 !?", "aa", "s", 1), (902, "", None, "s", 1), (903, "Été bada", None, "s", 1)]
+    df = spark.createDataFrame(rows, DOCS).select("*", *(F.lit(1).alias(c) for c in CLASHES))
+    known = [(r[1], r[2]) for r in rows if r[1] is not None and r[2] is not None and r[0] % 5]
+    want = brute.languages([(r[0], r[1]) for r in rows], known, language_id.GRAM, language_id.SHARE)
+    model = language_id.fit(df.where("doc_id % 5 <> 0"))
+    for r in language_id.identify(df, model).collect():
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 0.01
+
+
+def test_more_languages_than_a_word_has_bits(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SLOTS", 1 << 16)
+    r = random.Random(5)
+    rows = []
+    for k in range(70):
+        own = ["".join(chr(0x4E00 + 20 * k + r.randrange(20)) for _ in range(4)) for _ in range(6)]
+        rows += [(10 * k + i, " ".join(r.choice(own) for _ in range(20)), f"l{k:02}", "s", 1) for i in range(4)]
+    df = spark.createDataFrame(rows, DOCS)
+    model = language_id.fit(df)
+    assert len(model.languages) == 70 and model.slots.shape[1] == 2
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, model).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+def test_workers_need_no_package(tmp_path):
+    """The package lies on the driver's own path only."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(REPO)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+for name, query in entry.queries().items():
+    if name.startswith("op") or name in ("pipeline", "q3_udf"):
+        query(spark, {SF!r}).write.format("noop").mode("overwrite").save()
+        print("done", name)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert out.returncode == 0, out.stderr[-3000:]
+    assert out.stdout.count("done") == 12

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import tempfile
 import types
@@ -10,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a Python worker holds as numpy arrays at a time.
 CHUNK_BYTES = 1 << 19
@@ -22,29 +23,47 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the cluster's shared checkpoint folder.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary one is made.
+    and all runs on one machine (tests) a temporary one is made.
     """
-    checkpoint_folder(df)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def checkpoint_folder(df: DataFrame) -> str:
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waymark-"))
     return sc.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Removes what this session left in the checkpoint folder, once no DataFrame made by it is needed any more.
+
+    Spark gives each session a folder of its own in there. (Sessions started with
+    spark.cleaner.referenceTracking.cleanCheckpoints drop checkpoints by themselves.)
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint_folder(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path, True)
+    fs.mkdirs(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder, read again."""
-    folder = f"{checkpoint_folder(df)}/{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df; from now on its session sends at most rows rows at a time to Python, since texts can be long."""
+    """df; from now on its session sends at most rows rows at a time to Python, since texts can be long.
+
+    The setting is read when a plan starts, long after an operator has returned
+    its DataFrame, so it stays; a lower one is left alone.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= rows:
         conf.set(name, str(rows))
@@ -55,6 +74,16 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def broadcast_sized(df: DataFrame, rows: int, limit: int) -> DataFrame:
+    """df, to be broadcast if its checked number of rows is limit at most; beyond, joins shuffle or sort as usual."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def shipped(spark: SparkSession, model):
+    """A dataclass object broadcast as a dict of plain values, which executors without this package can read."""
+    return spark.sparkContext.broadcast(dict(model.__dict__))
+
+
 def id_bucket(col: str, modulus: int) -> Column:
     """crc32 of the id as text, mod modulus: the fold a row belongs to."""
     return F.crc32(F.col(col).cast("string")) % F.lit(modulus)
@@ -115,27 +144,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Hashes and places of the words of texts, between gaps (bytes; by default \\x20 and \\x09-\\x0D), A-Z lower-cased.
 
-    A word's hash is a polynomial over a random value per byte, modulo 2**64 and
-    mixed; prefix sums and the inverse powers give it for all words at once.
+    A word's hash starts from its length and takes in eight bytes at a time
+    through mix(), all words at once: words of up to eight bytes of one length
+    never collide, others as 64 random bits do. Words over LONG bytes are hashed
+    by blake2b. Memory is about four bytes for each byte of the texts given, and
+    sixteen for each word, so a chunk of CHUNK_BYTES or its one longer text sets it.
     """
 
-    BASE = 0x9E3779B97F4A7C15 | 1
+    LONG = 1024
 
     def __init__(self, gaps: bytes = b" \t\n\v\f\r") -> None:
-        values = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-        lower = np.arange(256)
-        lower[65:91] += 32
-        self.values = values[lower]
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
         self.space = np.zeros(256, bool)
         self.space[list(gaps)] = True
-        self.powers = self.inverses = np.ones(0, U64)
-
-    def grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            for name, base in (("powers", self.BASE), ("inverses", pow(self.BASE, -1, 1 << 64))):
-                steps = np.full(n, base, U64)
-                steps[:1] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+        self.masks = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hash, start byte and end byte of each word, and each row's first word (and the end)."""
@@ -148,18 +171,28 @@ class Words:
         begins[rows] = True
         starts = np.flatnonzero(~gap & (begins[:-1] | np.concatenate([[True], gap[:-1]])))
         ends = np.flatnonzero(~gap & (begins[1:] | np.concatenate([gap[1:], [True]]))) + 1
-        self.grow(len(data) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, U64)
-            np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
-            hashes = mix((sums[ends] - sums[starts]) * self.inverses[starts])
-        self.sums = sums
-        return hashes, starts, ends, np.searchsorted(starts, rows)
+        self.low = np.zeros(len(data) + 8, np.uint8)
+        self.low[:-8] = self.lower[data]
+        #: the eight bytes from each byte on
+        self.eight = np.ndarray((len(data) + 1,), "<u8", self.low, strides=(1,))
+        return self.hashed(starts, ends), starts, ends, np.searchsorted(starts, rows)
+
+    def hashed(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        length = ends - starts
+        hashes = mix(length.astype(U64) + U64(0x9E3779B97F4A7C15))
+        live = np.arange(len(length))
+        for at in range(0, min(self.LONG, int(length.max(initial=0))), 8):
+            if at:
+                live = live[length[live] > at]
+            block = self.eight[starts[live] + at] & self.masks[np.minimum(length[live] - at, 8)]
+            hashes[live] = mix(hashes[live] ^ block)
+        for i in np.flatnonzero(length > self.LONG):
+            hashes[i] = int.from_bytes(hashlib.blake2b(self.low[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return hashes
 
     def beginnings(self, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the first n bytes of each word of the texts called last (of all of a shorter word)."""
-        with np.errstate(over="ignore"):
-            return mix((self.sums[np.minimum(starts + n, ends)] - self.sums[starts]) * self.inverses[starts])
+        """Hashes of the first n bytes, eight at most, of each word of the texts called last (of all of a shorter word)."""
+        return mix(self.eight[starts] & self.masks[np.minimum(ends - starts, n)] ^ U64(0xC2B2AE3D27D4EB4F))
 
     def shingles(self, texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every run of k words, in order, and each row's first (and the end).

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, bounded_share, chunks, kept, mix, small_batches
+from .common import U64, bounded_share, chunks, kept, mix, shipped, small_batches
 
 #: Rows that the filters are fitted on, about, at most.
 FIT_ROWS = 20_000
@@ -20,15 +20,12 @@ SHARE = 2e-6
 SLOTS = 1 << 22
 HASHES = 4
 
-#: Languages at most: bits of a slot.
-LANGUAGES = 64
-
 GRAM = 4
 
 
 @dataclass(frozen=True)
 class Model:
-    """languages by bit; slots: for each slot the languages whose filter has it set; false_rate by language."""
+    """languages by bit; slots: for each slot the languages whose filter has it set, in as many words as that takes; false_rate by language."""
 
     languages: list[str]
     slots: np.ndarray
@@ -98,7 +95,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     Learns from about rows rows at most, chosen by a hash of the id; rows with
     null text or language are left out. The driver gets 1 / SHARE n-grams of a
-    language at most. Over LANGUAGES languages raise ValueError.
+    language at most. There may be any number of languages.
     """
     known = small_batches(labelled).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     known = bounded_share(known, "id", rows)
@@ -106,33 +103,35 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     counts = counts.persist()
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the filters hold {LANGUAGES}")
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= max(1, len(languages)))
-    slots, rate = np.zeros(SLOTS, kind), []
-    for bit, name in enumerate(languages):
+    kind = next((k for k in (np.uint8, np.uint16, np.uint32) if np.dtype(k).itemsize * 8 >= len(languages)), np.uint64)
+    bits = np.dtype(kind).itemsize * 8
+    slots, rate = np.zeros((SLOTS, max(1, -(-len(languages) // bits))), kind), []
+    for i, name in enumerate(languages):
         enough = counts.where((F.col("lang") == name) & (F.col("n") >= F.lit(max(2, SHARE * totals[name])))).select("gram")
         grams = enough.toPandas()["gram"].to_numpy(np.int64).astype(U64)
+        word, bit = slots[:, i // bits], kind(1 << i % bits)
         for j in range(HASHES):
-            slots[slots_of(grams, SLOTS, j)] |= kind(1 << bit)
-        rate.append(float(np.mean(slots & kind(1 << bit) != 0)) ** HASHES)
+            word[slots_of(grams, SLOTS, j)] |= bit
+        rate.append(float(np.mean(word & bit != 0)) ** HASHES)
     counts.unpersist()
     return Model(languages, slots, np.array(rate), gram)
 
 
 def label(batches, shared):
     """(id, lang_pred, score) of each row, from the languages that hold each n-gram."""
-    model = shared.value
-    bits = len(model.languages)
+    model = Model(**shared.value)
+    n = len(model.languages)
+    kind = model.slots.dtype.type
+    bits = model.slots.dtype.itemsize * 8
     for batch, texts in chunks(batches):
         grams, row, has = grams_of(texts, model.gram)
         held = model.slots[slots_of(grams, SLOTS, 0)]
         for j in range(1, HASHES):
             held &= model.slots[slots_of(grams, SLOTS, j)]
         total = np.bincount(row, minlength=len(texts))
-        hits = np.stack([np.bincount(row, (held >> held.dtype.type(b)) & held.dtype.type(1), minlength=len(texts)) for b in range(bits)], 1) if bits else np.zeros((len(texts), 0))
+        hits = np.stack([np.bincount(row, (held[:, i // bits] >> kind(i % bits)) & kind(1), minlength=len(texts)) for i in range(n)], 1) if n else np.zeros((len(texts), 0))
         names = np.array([*model.languages, "und"], object)
-        if bits:
+        if n:
             # of the n-grams that a language lacks, false_rate hit all the same
             true = np.maximum(0, (hits - total[:, None] * model.false_rate) / (1 - model.false_rate))
             best, sums = true.argmax(1), true.sum(1)
@@ -150,9 +149,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     lang_pred is und, and score 0, where text is null or has no letter, and
     everywhere for a model without languages. Ties go to the language that
-    sorts first. Repeated rows and null ids are labelled each.
+    sorts first. Repeated rows and null ids are labelled each. A text is read whole,
+    in memory of some fifty bytes for each of its own; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(lambda it: label(it, shared), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

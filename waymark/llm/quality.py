@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import CHUNK_BYTES, Words, chunks, cut, kept, small_batches, text_bytes
+from .common import CHUNK_BYTES, Words, chunks, cut, kept, shipped, small_batches, text_bytes
 
 #: Random features, and the ridge penalty (of each row's unit of fit).
 FEATURES = 192
@@ -18,9 +18,6 @@ RIDGE = 1e-3
 BINS = 512
 LOW, HIGH = -0.5, 1.5
 
-#: Tasks that sum normal equations, at most.
-SUMMERS = 64
-
 NAMES = (
     "bytes", "words", "word_bytes", "upper", "digits", "marks", "symbols", "high_bytes", "blanks", "lines", "line_bytes",
     "distinct", "repeats", "top_line", "ends_marked", "single", "long_words", "bars", "shouts", "capitalised",
@@ -156,7 +153,8 @@ def binned(batches, model: Model):
 
 def summed(df: DataFrame, f, size: int) -> np.ndarray:
     """f's rows (k, v) of all tasks, added up by k."""
-    found = df.coalesce(SUMMERS).mapInArrow(f, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    # each task gives size rows, so there are fewer tasks than partitions
+    found = df.coalesce(max(64, df.rdd.getNumPartitions() // 16)).mapInArrow(f, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
     out = np.zeros(size)
     out[found["k"].to_numpy()] = found["v"].to_numpy()
     return out
@@ -179,7 +177,11 @@ def isotonic(counts: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, stats) of every row, computed once and kept; a null text is empty."""
+    """(id, stats) of every row, computed once and kept; a null text is empty, repeated rows and null ids are rows.
+
+    A text is read whole, in memory of some thirty bytes for each of its own;
+    other columns are not read.
+    """
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return cut(rows.mapInArrow(describe, f"id {rows.schema['id'].dataType.simpleString()}, stats array<float>"))
 
@@ -211,7 +213,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 
 def rate(batches, shared):
-    model = shared.value
+    model = Model(**shared.value)
     for batch in batches:
         if batch.num_rows:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.score(stats_of(batch)))], names=["id", "score"])
@@ -219,6 +221,6 @@ def rate(batches, shared):
 
 def score(stats: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """id_col and score (0 to 1, higher: label 1 likelier) of every row of stats, repeated ones too."""
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(stats.sparkSession, model)
     kind = stats.schema["id"].dataType.simpleString()
     return stats.mapInArrow(lambda it: rate(it, shared), f"id {kind}, score double").withColumnRenamed("id", id_col)
