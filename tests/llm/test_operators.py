@@ -450,3 +450,35 @@ def test_blocks_meet_within_radius(spark):
     df = spark.createDataFrame(rows, "a bigint, b bigint")
     own = [decontaminate.blocks(F.col(c), decontaminate.RADIUS) for c in "ab"]
     assert df.where(F.arrays_overlap(*own)).count() == 200
+
+
+def test_decontamination_of_shifted_and_edited_passages(spark, monkeypatch):
+    """Words put in, taken out and replaced, at the edges of the similarity; documents in several segments; recall."""
+    monkeypatch.setattr(decontaminate, "SEGMENT", 64)
+    r = random.Random(21)
+    items = {i: " ".join(words(r, r.randint(20, 40), 3000)) for i in range(12)}
+    docs = {}
+    for i in range(280):
+        own = items[i % 12].split(" ")
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(own))
+            own[at : at + r.randrange(2)] = ["edited"] * r.randrange(3)
+        before, after = words(r, r.randint(0, 90), 3000), words(r, r.randint(0, 20), 3000)
+        docs[i] = " ".join(before + own + after)
+    docs[500] = " ".join(words(r, 300, 3000) + items[7].split(" ") + words(r, 300, 3000))
+    marks = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(frame(spark, docs), marks).collect()}
+    want = brute.leaks(docs, items)
+    assert got <= want and len(got) >= 0.98 * len(want) and (500, 7) in got
+    edge = want - brute.leaks(docs, items, similar=83)
+    assert len(edge) >= 5 and len(edge & got) >= 0.9 * len(edge)
+
+
+def test_decontamination_null_and_repeated_ids(spark):
+    r = random.Random(22)
+    passage, other = (" ".join(words(r, 30, 3000)) for _ in range(2))
+    rows = [(None, f"a {passage}"), (None, f"b c {passage}"), (7, passage), (7, f"d {passage}"), (7, passage), (8, "x " * 50), (None, None), (9, other)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    marks = spark.createDataFrame([(None, passage), (None, other), (None, None)], "item_id bigint, text string")
+    got = sorted((x.doc_id or 0, x.start) for x in decontaminate.leaks(docs, marks).collect())
+    assert got == [(0, 1), (0, 2), (7, 0), (7, 1), (9, 0)]

@@ -98,7 +98,7 @@ def test_a_passage_inside_lines_is_cut(spark):
 def test_sql_agrees(spark, name):
     got = queries.QUERIES[name](spark, SF)
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = db.execute(queries.SQL[name])
     columns = [c[0] for c in want.description]

@@ -5,13 +5,14 @@ Only DataFrame expressions: nothing here runs Python on the executors.
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import broadcast_sized, cut
 
 #: Words of a shingle, and the similarity that counts as a leak, in percent.
 SHINGLE = 5
@@ -20,13 +21,23 @@ SIMILAR = 80
 #: Fingerprints this many bits apart are candidates; two sets 80 % alike are 10 bits apart on average.
 RADIUS = 16
 
-#: Benchmark shingles up to which they are broadcast (16 bytes each); beyond, joins shuffle.
+#: Bits of the fingerprint's blocks.
+BLOCKS = (13, 13, 13, 13, 12)
+
+#: Rows up to which a table made from the benchmark is broadcast; beyond, joins shuffle.
 BROADCAST = 1 << 20
 
+#: Window starts that a row of a document's hashes is for.
+SEGMENT = 4096
+
+#: Bits of the filter that marks documents which may hold an anchor, and where its hashes lie in a shingle's.
+FILTER_BITS = 1 << 18
+FILTER_SHIFTS = (0, 18, 36, 46)
+
 #: What parts words: blanks and ASCII punctuation.
 GAPS = r"[\s\p{Punct}]+"
 
-KEY = ["id", "th"]
+WINDOW = ["seg", "m", "start"]
 
 # Arrays are exploded by the outer functions: for the others the optimiser filters
 # on the array's size first, and computes its expression anew, inside lambdas too.
@@ -42,54 +53,103 @@ def shingles_of(words: Column, size: int) -> Column:
     return F.when(made > 0, F.transform(F.slice(words, 1, made), lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, size))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprint() -> Column:
-    """64-bit SimHash as an aggregate over rows (g: hash, n: times, weight: whole number)."""
-    bits = [F.when(F.sum(F.col("n") * F.col("weight") * (2 * F.shiftright("g", b).bitwiseAND(F.lit(1)) - 1)) > 0, F.lit(1).cast("long") if b == 0 else F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+def fingerprint() -> list[Column]:
+    """64-bit SimHash as aggregates over rows (g: hash, weight: whole number); each sum holds the weights of two bits."""
+    pairs = [F.sum(F.shiftright("g", b).bitwiseAND(F.lit(0x100000001)) * F.col("weight")).alias(f"s{b}") for b in range(32)]
+    return [*pairs, F.sum("weight").alias("all")]
+
 
+def bits_of_sums() -> Column:
+    """The fingerprint: a bit is set where the rows that have it weigh more than half of all."""
+    out = F.lit(0).cast("long")
+    for b in range(32):
+        for at, own in ((b, F.col(f"s{b}").bitwiseAND(F.lit(0xFFFFFFFF))), (b + 32, F.shiftrightunsigned(f"s{b}", 32))):
+            out = out.bitwiseOR(F.when(2 * own > F.col("all"), F.lit((1 << at) - ((1 << 64) if at == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
 
-def blocks(fp: Column, radius: int) -> Column:
-    """array<struct<no, part>>: radius + 1 pieces of the fingerprint; two within the radius share one at least."""
-    n = radius + 1
-    ends = [64 * i // n for i in range(n + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("part")) for i, (a, b) in enumerate(zip(ends, ends[1:]))))
 
+def longs(values: list[int]) -> Column:
+    """A constant array, as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def flips(radius: int) -> list[list[int]]:
+    """For each block the patterns of bits to flip, such that two fingerprints within the radius meet in some block.
+
+    A block is searched up to a distance of its own. These are chosen so that, were
+    two fingerprints further apart than that in every block, they would be more
+    than radius apart in all.
+    """
+    n = len(BLOCKS)
+    own = [(radius + 1) // n - 1 + (i < (radius + 1) % n) for i in range(n)]
+    return [[sum(1 << x for x in at) for t in range(r + 1) for at in itertools.combinations(range(size), t)] for size, r in zip(BLOCKS, own)]
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST else df
+
+def blocks(fp: Column, radius: int | None = None) -> Column:
+    """Join keys of a fingerprint, number and value of each block in a long; with a radius, of all values so near."""
+    patterns = flips(radius) if radius is not None else [[0]] * len(BLOCKS)
+    out = []
+    for i, (size, own) in enumerate(zip(BLOCKS, patterns)):
+        value = F.shiftrightunsigned(fp, sum(BLOCKS[:i])).bitwiseAND(F.lit((1 << size) - 1)).bitwiseOR(F.lit(i << 32).cast("long"))
+        out.append(F.transform(longs(own), lambda p, v=value: v.bitwiseXOR(p)) if own else F.array().cast("array<bigint>"))
+    return F.flatten(F.array(*out))
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(item, item_id, m, width, q, g): the shingles of each item; width words each, fewer in shorter items.
+    """(item, item_id, m, width, g): the shingles of each item; width words each, fewer in shorter items.
 
     item stands for the id and the words.
     """
     words = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).where("size(words) > 0").dropDuplicates()
     words = words.withColumn("item", F.xxhash64("item_id", "words")).withColumn("m", F.size("words")).withColumn("width", F.least("m", F.lit(size)))
     short = reduce(lambda x, s: x.when(F.col("width") == s, shingles_of(F.col("words"), s)), range(1, size), F.when(F.col("width") == size, shingles_of(F.col("words"), size)))
-    return words.select("item", "item_id", "m", "width", F.posexplode_outer(short).alias("q", "g")).where("g is not null")
+    return words.select("item", "item_id", "m", "width", F.explode_outer(short).alias("g")).where("g is not null")
+
+
+def slot(g: Column, shift: int) -> Column:
+    return F.shiftrightunsigned(g, shift).bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int")
+
+
+def filter_of(anchors: DataFrame) -> Column:
+    """A Bloom filter of the anchors' shingles as a constant array of FILTER_BITS bits, however many they are."""
+    slots = anchors.select(F.explode(F.array(*(slot(F.col("g"), s) for s in FILTER_SHIFTS))).alias("s"))
+    rows = slots.groupBy(F.shiftright("s", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("bits")).collect()
+    held = {r["at"]: r["bits"] for r in rows}
+    return longs([held.get(i, 0) for i in range(FILTER_BITS // 64)])
+
+
+def may_hold(g: Column, marks: Column) -> Column:
+    tests = (F.getbit(F.get(marks, F.shiftright(slot(g, s), 6)), slot(g, s).bitwiseAND(F.lit(63))) == 1 for s in FILTER_SHIFTS)
+    return reduce(lambda a, b: a & b, tests)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = SHINGLE, similar: int = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """Which documents hold a passage as long as a benchmark item and similar percent like it or more.
 
     Returns a row per document and item: id_col, item_id, similarity (of the best
-    window), start and length (its words). Words are lower-cased and lie between
-    blanks and ASCII punctuation; similarity is the weighted Jaccard similarity of
-    size-word shingles with their numbers, a shingle weighing more the fewer items
-    hold it. An item of fewer words is one shingle; items and documents without
-    words match nothing. Repeated documents (id and text) and repeated items count
-    once; items of one id and other texts are compared each, and the best counts.
-    Null ids are kept as ids. Empty tables give no rows.
+    window), start and length (its words; of equal ones the first). Words are
+    lower-cased and lie between blanks and ASCII punctuation; similarity is the
+    weighted Jaccard similarity of size-word shingles with their numbers, a shingle
+    weighing more the fewer items hold it. An item of fewer words is one shingle; a
+    document of fewer words than an item is one window; items and documents
+    without words match nothing. Repeated documents (id and text) and repeated
+    items count once; items of one id and other texts are compared each, and the
+    best counts. Null ids are ids; documents of one id and other texts, or without
+    ids, have rows of their own. Other columns are not read. Empty tables give no
+    rows. A document is split and hashed whole, some fifty bytes for each word;
+    from then on SEGMENT words at a time.
 
     1. A similar window shares one at least of an item's rarest shingles (those of
-       more than 100 - similar percent of its weight); where a document has one,
-       the item-sized window aligned with it is taken. All other windows hold none
-       of these shingles and can't be similar enough.
-    2. Windows and items get weighted SimHash fingerprints of 64 bits. radius + 1
-       blocks of the bits are join keys, with the length, so every pair within
-       the radius meets; the Hamming distance is then tested.
-    3. The weighted similarity of these candidates is computed exactly.
+       more than 100 - similar percent of its weight), its anchors. A filter of all
+       anchors drops most documents in the only scan of the texts; of the others
+       the shingles' hashes go on.
+    2. Every window of an item's length that holds an anchor of such an item, at
+       each of the anchor's places, gets a weighted SimHash of 64 bits. No other
+       window of that length can be similar.
+    3. The fingerprints' blocks are join keys, with the length. Items are listed
+       under all values so near to their own that every pair within the radius
+       meets (flips()), but of chance pairs one in eight; the distance is then tested.
+    4. The weighted similarity of these candidates is computed exactly.
 
     A window of exactly 80 % lies beyond 16 bits in about 1 of 70 cases; verbatim
     copies never do.
@@ -98,48 +158,54 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     n_rows = items.count()
     n_items = items.select("item").distinct().count()
     df = items.groupBy("g").agg(F.countDistinct("item").alias("df"))
-    weights = df.select("g", "df", F.round(100 * (1 + F.log(F.lit(n_items) / F.col("df")))).cast("long").alias("weight"))
+    weights = cut(df.select("g", "df", F.round(100 * (1 + F.log(F.lit(n_items) / F.col("df")))).cast("long").alias("weight")))
     most = round(100 * (1 + math.log(max(1, n_items))))
-    parts = cut(items.groupBy("item", "item_id", "m", "width", "g").agg(F.count("*").alias("n"), F.min("q").alias("q")).join(weights, "g"))
+    parts = cut(items.groupBy("item", "item_id", "m", "width", "g").agg(F.count("*").alias("n")).join(weights, "g"))
     total = F.sum(F.col("n") * F.col("weight"))
     whole = Window.partitionBy("item")
     rarest = whole.orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
     anchors = parts.withColumn("before", F.coalesce(total.over(rarest), F.lit(0))).withColumn("all", total.over(whole))
-    anchors = cut(anchors.where(100 * F.col("before") <= (100 - similar) * F.col("all")).select("g", "m", "width", "q").distinct())
-    widths = [r.width for r in anchors.select("width").distinct().collect()]
+    anchors = cut(anchors.where(100 * F.col("before") <= (100 - similar) * F.col("all")).select("g", "m", "width").distinct())
+    longest = {r.width: r.m for r in anchors.groupBy("width").agg(F.max("m").alias("m")).collect()}
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("text <> ''")
-    words = rows.select(*KEY, words_of(F.col("text")).alias("words"))
-    found = None
-    for width in widths:
-        hashes = words.select(*KEY, F.size("words").alias("n_words"), shingles_of(F.col("words"), width).alias("h"))
-        hits = hashes.select(*KEY, "n_words", F.posexplode_outer("h").alias("pos", "g")).where("g is not null").join(sized(anchors.where(F.col("width") == width).drop("width"), n_rows), "g")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("q"), F.col("n_words") - F.col("m")))
-        hits = hits.select(*KEY, start.alias("start"), F.least("m", "n_words").alias("length"), "m", F.lit(width).alias("width")).distinct()
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    if not longest:
         return rows.limit(0).select(F.col("id").alias(id_col), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("length"))
-    taken = cut(found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "length", "m", "width")).alias("windows")))
-    taken = taken.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "windows").hint("shuffle_hash")
-    held = rows.join(taken, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).dropDuplicates(KEY)
-    held = held.select(*KEY, words_of(F.col("text")).alias("words"), F.explode_outer("windows").alias("w"))
-    own = held.select(*KEY, "w.*", F.slice("words", F.col("w.start") + 1, F.col("w.length")).alias("own"))
-    wide = reduce(lambda x, s: x.when(F.col("width") == s, shingles_of(F.col("own"), s)), widths[1:], F.when(F.col("width") == widths[0], shingles_of(F.col("own"), widths[0])))
-    window = [*KEY, "start", "length", "m"]
-    pieces = own.select(*window, F.explode_outer(wide).alias("g")).where("g is not null").groupBy(*window, "g").agg(F.count("*").alias("n"))
-    pieces = cut(pieces.join(sized(weights.select("g", "weight"), n_rows), "g", "left").withColumn("weight", F.coalesce("weight", F.lit(most))))
-
-    prints = cut(pieces.groupBy(*window).agg(fingerprint().alias("fp"), total.alias("all")))
-    item_prints = cut(parts.groupBy("item", "item_id", "m").agg(fingerprint().alias("item_fp"), total.alias("item_all")))
-    left = prints.select("*", F.explode(blocks(F.col("fp"), radius)).alias("b"))
-    right = item_prints.select("*", F.explode(blocks(F.col("item_fp"), radius)).alias("b"))
-    near = left.join(sized(right, n_rows), ["m", "b"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).drop("b", "fp", "item_fp").distinct()
-    theirs = parts.select("item", "g", F.col("n").alias("item_n"))
-    same = [F.col("c." + c).eqNullSafe(F.col("p." + c)) for c in window]
-    both = near.alias("c").join(pieces.alias("p"), reduce(lambda x, y: x & y, same)).select("c.*", "p.g", "p.n", "p.weight")
-    common = both.join(sized(theirs, n_rows), ["item", "g"])
-    alike = common.groupBy(*window, "item", "item_id", "all", "item_all").agg(F.sum(F.least("n", "item_n") * F.col("weight")).alias("inter"))
+    words = rows.select("id", "th", words_of(F.col("text")).alias("words"))
+    hashed = words.select("id", "th", F.size("words").alias("n_words"), F.explode_outer(F.array(*(F.struct(F.lit(w).alias("width"), F.lit(m).alias("longest"), shingles_of(F.col("words"), w).alias("h")) for w, m in longest.items()))).alias("x"))
+    hashed = hashed.select("id", "th", "n_words", "x.*")
+    marks = filter_of(anchors)
+    hashed = hashed.where(F.exists("h", lambda g: may_hold(g, marks)))
+    # rows overlap by the longest item, so that each holds the windows that start in it
+    bases = F.sequence(F.lit(0), F.size("h") - 1, F.lit(SEGMENT))
+    segments = F.transform(bases, lambda a: F.struct(a.alias("base"), F.slice("h", a + 1, F.lit(SEGMENT) + F.col("longest")).alias("h")))
+    segments = hashed.select("id", "th", "n_words", "width", F.explode_outer(segments).alias("x")).select("id", "th", "n_words", "width", "x.*").dropDuplicates(["id", "th", "width", "base"])
+    segments = cut(segments.withColumn("seg", F.monotonically_increasing_id()))
+
+    places = segments.select("seg", "base", "n_words", "width", F.posexplode_outer("h").alias("at", "g"))
+    hits = places.join(broadcast_sized(anchors, n_rows, BROADCAST), ["width", "g"]).withColumn("pos", F.col("base") + F.col("at"))
+    low = F.greatest(F.col("base"), F.col("pos") - F.col("m") + F.col("width"))
+    high = F.least(F.col("pos"), F.col("base") + SEGMENT - 1, F.greatest(F.col("n_words") - F.col("m"), F.lit(0)))
+    windows = hits.select("seg", "m", F.explode_outer(F.when(low <= high, F.sequence(low, high))).alias("start")).where("start is not null").distinct()
+
+    def shingles(of: DataFrame) -> DataFrame:
+        """Each window's shingles as rows (g)."""
+        held = of.join(segments.select("seg", "base", "n_words", "width", "h"), "seg")
+        own = F.slice("h", F.col("start") - F.col("base") + 1, F.least("m", "n_words") - F.col("width") + 1)
+        return held.select(*of.columns, F.explode_outer(own).alias("g"))
+
+    weighed = shingles(windows).join(broadcast_sized(weights.select("g", "weight"), n_rows, BROADCAST), "g", "left").withColumn("weight", F.coalesce("weight", F.lit(most)))
+    prints = weighed.groupBy(*WINDOW).agg(*fingerprint()).select(*WINDOW, "all", bits_of_sums().alias("fp"))
+    item_prints = parts.withColumn("weight", F.col("n") * F.col("weight")).groupBy("item", "item_id", "m").agg(*fingerprint())
+    item_prints = cut(item_prints.select("item", "item_id", "m", F.col("all").alias("item_all"), bits_of_sums().alias("item_fp")))
+    listed = item_prints.select("*", F.explode(blocks(F.col("item_fp"), radius)).alias("key"))
+    met = prints.select("*", F.explode(blocks(F.col("fp"))).alias("key")).join(broadcast_sized(listed, n_items * sum(map(len, flips(radius))), BROADCAST), ["m", "key"])
+    near = cut(met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).drop("key", "fp", "item_fp").distinct())
+
+    theirs = broadcast_sized(parts.select("item", "g", F.col("n").alias("item_n"), "weight"), n_rows, BROADCAST)
+    common = shingles(near).join(theirs, ["item", "g"]).groupBy(*near.columns, "g", "item_n", "weight").agg(F.count("*").alias("n"))
+    alike = common.groupBy(*near.columns).agg(F.sum(F.least("n", "item_n") * F.col("weight")).alias("inter"))
     alike = alike.withColumn("union", F.col("all") + F.col("item_all") - F.col("inter")).where(100 * F.col("inter") >= similar * F.col("union"))
-    alike = alike.withColumn("similarity", F.col("inter") / F.col("union"))
-    best = alike.groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length")).alias("b"))
+    alike = alike.withColumn("similarity", F.col("inter") / F.col("union")).join(segments.select("seg", "id", "th", "n_words"), "seg")
+    best = alike.groupBy("id", "th", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.least("m", "n_words").alias("length"))).alias("b"))
     return best.select(F.col("id").alias(id_col), "item_id", "b.similarity", (-F.col("b.back")).alias("start"), "b.length")

@@ -172,5 +172,37 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""",
+    "op10_decontamination": r"""
+WITH marks AS MATERIALIZED (
+  SELECT item_id, w, row_number() OVER (ORDER BY item_id, w) AS item, len(w) AS m, least(len(w), 5) AS width FROM (
+    SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\s\x0B!-/:-@\[-`{-~]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0
+), item_grams AS (
+  SELECT item, item_id, m, width, g, count(*) AS n FROM (
+    SELECT *, array_to_string(w[i:i + width - 1], ' ') AS g FROM (SELECT *, unnest(generate_series(1, m - width + 1)) AS i FROM marks)) GROUP BY ALL
+), weights AS (
+  SELECT width, g, CAST(round(100 * (1 + ln((SELECT count(*) FROM marks) / count(*)))) AS BIGINT) AS weight FROM item_grams GROUP BY width, g
+), totals AS (
+  SELECT item, sum(n * weight) AS total FROM item_grams JOIN weights USING (width, g) GROUP BY item
+), rows AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS d, doc_id, w FROM (
+    SELECT DISTINCT doc_id, text, list_filter(string_split_regex(lower(text), '[\s\x0B!-/:-@\[-`{-~]+'), lambda x: x <> '') AS w FROM documents WHERE text <> '')
+), places AS (
+  SELECT d, len(w) AS n_words, width, i - 1 AS pos, array_to_string(w[i:i + width - 1], ' ') AS g FROM (
+    SELECT d, w, width, unnest(generate_series(1, len(w) - width + 1)) AS i FROM rows, (SELECT DISTINCT width FROM marks))
+), hits AS (
+  SELECT DISTINCT d, item, item_id, m, width, least(m, n_words) AS length, unnest(generate_series(greatest(0, pos - m + width), least(pos, greatest(0, n_words - m)))) AS start
+  FROM places JOIN item_grams USING (width, g)
+), inside AS (
+  SELECT h.*, p.g, count(*) AS k FROM hits h JOIN places p ON p.d = h.d AND p.width = h.width AND p.pos BETWEEN h.start AND h.start + h.length - h.width GROUP BY ALL
+), sums AS (
+  SELECT i.d, i.item, i.item_id, i.start, i.length, sum(k * coalesce(weight, CAST(round(100 * (1 + ln((SELECT count(*) FROM marks)))) AS BIGINT))) AS own, coalesce(sum(least(k, n) * weight) FILTER (n IS NOT NULL), 0) AS shared
+  FROM inside i LEFT JOIN weights USING (width, g) LEFT JOIN item_grams x ON x.item = i.item AND x.g = i.g GROUP BY ALL
+), alike AS (
+  SELECT *, shared / (own + total - shared) AS similarity FROM sums JOIN totals USING (item) WHERE 100 * shared >= 80 * (own + total - shared)
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY d, item_id ORDER BY similarity DESC, start, length DESC) AS r FROM alike
+)
+SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, start, length FROM best JOIN rows USING (d) WHERE r = 1
 """,
 }
