@@ -482,3 +482,64 @@ def test_decontamination_null_and_repeated_ids(spark):
     marks = spark.createDataFrame([(None, passage), (None, other), (None, None)], "item_id bigint, text string")
     got = sorted((x.doc_id or 0, x.start) for x in decontaminate.leaks(docs, marks).collect())
     assert got == [(0, 1), (0, 2), (7, 0), (7, 1), (9, 0)]
+
+
+def test_similar_sets_share_a_signature():
+    """Sets of all sizes, at the edge of the similarity, some with most parts empty."""
+    r = np.random.default_rng(5)
+    for t in (60, 80, 90):
+        levels, level_of = ngram_jaccard.Levels(t), []
+        for n in [*range(2, 60), 200, 1000, 5000]:
+            for _ in range(8):
+                a = r.integers(1, 1 << 63, n, dtype=np.uint64)
+                gone = int(r.integers(0, 1 + n * (100 - t) // 100))
+                more = int(r.integers(0, 1 + n * (100 - t) // t))
+                b = np.unique(np.concatenate([a[gone:], r.integers(1, 1 << 63, more, dtype=np.uint64)]))
+                inter = len(np.intersect1d(a, b))
+                if len(b) and 100 * inter >= t * (len(a) + len(b) - inter):
+                    assert np.isin(levels.signatures(np.unique(a)), levels.signatures(b)).any()
+                    level_of.append(abs(levels.of(len(a)) - levels.of(len(b))))
+        assert max(level_of) == 1 and len(level_of) > 200
+
+
+def test_different_words_are_different_sets(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    docs = {1: a, 2: a.translate(str.maketrans("ab", "ba")), 3: a.upper(), 4: " ".join([a] * 30), 5: " ".join([docs_word(i) for i in range(30)])}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.jaccard_groups(frame(spark, docs)).collect()}
+    assert got == brute.groups(docs, 3, 90)
+
+
+def docs_word(i):
+    return f"w{i}"
+
+
+def test_classes_that_share_half_a_key(spark, docs, monkeypatch):
+    plain = ngram_jaccard.class_of
+    monkeypatch.setattr(ngram_jaccard, "class_of", lambda tokens: (plain(tokens)[0] % 5, plain(tokens)[1]))
+    own = {d: t for d, t in docs.items() if d > 40}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.jaccard_groups(frame(spark, own), 3, 90).collect()}
+    assert got == brute.groups(own, 3, 90)
+
+
+def test_a_token_in_very_many_small_sets(spark):
+    """They are frequent, yet nothing links or pairs them."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("id as doc_id", "concat('one two three ', array_join(transform(sequence(1, 12), i -> concat('w', id, 'x', i)), ' ')) as text")
+    near = spark.createDataFrame([(n + i, "one two three " + " ".join(f"y{j}" for j in range(20 + i))) for i in range(3)], "doc_id bigint, text string")
+    got = ngram_jaccard.jaccard_groups(rows.unionByName(near))
+    found = got.where("n_links > 0 or component_id <> doc_id").collect()
+    assert {(r.doc_id, r.component_id, r.n_links) for r in found} == {(n, n, 2), (n + 1, n, 2), (n + 2, n, 2)}
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 17])
+def test_clusters_of_many_blocks(spark, monkeypatch, limit):
+    """Near copies of many lengths, some in a chain of links, verified in pairs of blocks."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
+    monkeypatch.setattr(ngram_jaccard, "PAIRED", 16)
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST", limit)
+    base = [f"w{i}" for i in range(200)]
+    docs = {i: " ".join(base[: 60 + i]) for i in range(140)}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.jaccard_groups(frame(spark, docs)).collect()}
+    assert got == brute.groups(docs, 3, 90)
