@@ -7,7 +7,11 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import apart, small_batches
+from .common import apart, cut, small_batches
+
+#: Documents that lose lines, and spans in all, up to which the spans are broadcast; beyond, they and the texts shuffle.
+BROADCAST = 1 << 17
+BROADCAST_SPANS = 1 << 20
 
 #: Blanks that are trimmed off a line before it is compared.
 BLANKS = " \t\v\f\r"
@@ -116,10 +120,10 @@ def remove(batches, cut_out):
         yield pa.RecordBatch.from_arrays([batch.column("row"), texts, spans], names=["row", "text", "removed"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, into: str = "removed") -> DataFrame:
     """docs with later occurrences of repeated windows of size lines taken out of their texts.
 
-    Returns every column of docs, the text replaced, and removed, an
+    Returns every column of docs, the text replaced, and into, an
     array<struct<first, last>> of merged line spans that went (empty: untouched);
     a column of docs of that name is replaced. Lines end at a newline and are
     compared without outer blanks; blank lines belong to no window, but go if they
@@ -130,36 +134,40 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat id and text are one document: all are cut alike. Null ids
     come first in the order.
 
-    Occurrences meet by hash (128 bits) in a partial aggregation, so that a
-    window found everywhere moves once per task; repeated ones join back to
-    their windows (AQE splits hot ones), and only line spans join the texts.
+    Windows are hashed once and kept (48 bytes each). Occurrences meet by hash (128
+    bits) in a partial aggregation, so that a window found everywhere moves once
+    per task; repeated ones join back to their windows (AQE splits hot ones). Only
+    line spans, each once, join the texts; if they are few, texts do not move.
     """
-    return dedup(docs, id_col, text_col, full_lines, size, without)
+    return dedup(docs, id_col, text_col, full_lines, size, without, into)
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, into: str = "removed") -> DataFrame:
     """dedup_lines() that also finds passages within lines: lines over LONG characters count as their sentences.
 
-    What dedup_lines() cuts this cuts too, since equal lines part alike. removed
-    holds the first and last character of each span that went.
+    What dedup_lines() cuts this cuts too, since equal lines part alike. into holds
+    the first and last character of each span that went.
     """
-    return dedup(docs, id_col, text_col, full_pieces, size, without_pieces)
+    return dedup(docs, id_col, text_col, full_pieces, size, without_pieces, into)
 
 
-def dedup(docs: DataFrame, id_col: str, text_col: str, units, size: int, cut_out) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str, text_col: str, units, size: int, cut_out, into: str) -> DataFrame:
     """docs without later occurrences of windows of size units of their texts; cut_out takes a text's spans out."""
     schema = small_batches(docs).schema
-    key = docs.select(F.struct(*[docs[f"`{c}`"] for c in schema.names if c not in (text_col, "removed")]).alias("row"), docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("th"))
+    key = docs.select(F.struct(*[docs[f"`{c}`"] for c in schema.names if c not in (text_col, into)]).alias("row"), docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("th"))
     lines = key.where("text <> ''").select("id", "th", units(F.col("text")).alias("full"))
     # explode() would filter on the array's size first, with the lines computed anew for each window
     found = lines.select("id", "th", F.explode_outer(windows_of(F.col("full"), size)).alias("w")).where("w is not null").select("id", "th", "w.*")
+    found = cut(found)
     place = F.struct("id", "th", "first")
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("stays"), F.count("*").alias("n")).where("n > 1").select(apart("h1").alias("h1"), apart("h2").alias("h2"), "stays")
     later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("stays")))
-    spans = later.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans_found"))
-    spans = spans.select(F.col("id").alias("id_found"), F.col("th").alias("th_found"), "spans_found").hint("shuffle_hash")
+    # rows that repeat id and text have the same spans
+    spans = cut(later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans_found")))
+    n, many = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans_found")), F.lit(0))).first()
+    spans = spans.select(F.col("id").alias("id_found"), F.col("th").alias("th_found"), "spans_found").hint("broadcast" if n <= BROADCAST and many <= BROADCAST_SPANS else "shuffle_hash")
     both = key.join(spans, F.col("id").eqNullSafe(F.col("id_found")) & (F.col("th") == F.col("th_found")), "left")
     both = both.select("row", F.col("text").alias("text_found"), "spans_found")
     out = f"row {both.schema['row'].dataType.simpleString()}, text string, removed array<struct<first:int,last:int>>"
     cut_up = both.mapInArrow(lambda it: remove(it, cut_out), out)
-    return cut_up.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in schema.names if c != "removed"), "removed")
+    return cut_up.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in schema.names if c != into), F.col("removed").alias(into))
