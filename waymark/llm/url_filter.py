@@ -12,8 +12,9 @@ from .common import shuffle_partitions
 #: Above every character of a key, so key + TOP ends the interval of what lies under key.
 TOP = "\U0010ffff"
 
-#: Urls sampled for each interval when cut points are chosen.
-SAMPLE_PER_PART = 40
+#: Urls sampled for each interval when cut points are chosen, and their characters that count.
+SAMPLE_PER_PART = 20
+PLACE = 256
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,14 @@ def key_of(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
+def below(cuts: list[str], at: Column) -> Column:
+    """How many of the sorted cuts are not above at, by halving steps."""
+    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<string>")
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(max(1, len(cuts).bit_length())))))
+    # get() is null beyond the end
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(bounds, n + step - 1) <= at, n + step).otherwise(n))
+
+
 def sweep(batches, default: str):
     """Judges sorted rows with a stack of the rules whose host interval is open.
 
@@ -85,11 +94,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame | list[Rule], url_col: str =
     longest rule string wins; where none fits, rule is null and verdict default.
     Null urls and urls without :// have an empty host and path, and no rule.
     Equal rules given twice count once, with the verdict that sorts last (block
-    wins over allow). Repeated pages are judged each; empty tables give none.
+    wins over allow). Repeated pages and null ids are judged each; empty
+    tables give none. Other columns are not read; urls may have any length.
 
     Reversed hosts make a rule an interval of keys. Cut points (one per shuffle
     partition, from a sample; they steer balance only) lie between (key, path, id),
-    so a hot host spreads over parts. A rule goes to each part that its interval
+    so a hot host spreads over parts; a row's part is found by binary search, and
+    parts are shuffle partitions. A rule goes to each part that its interval
     meets: parts are cut inside at most one chain of nested hosts, so copies stay
     below rules + parts * depth. Each part is then swept in order.
     """
@@ -102,19 +113,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame | list[Rule], url_col: str =
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path_of(F.coalesce(F.col(url_col), F.lit(""))).alias("path"))
     urls = urls.withColumn("key", key_of(F.col("host")))
     n = parts or shuffle_partitions(pages)
-    place = F.concat_ws("\0", F.col("key"), F.col("path"), F.lpad(F.hex(F.xxhash64("id")), 16, "0"))
+    place = F.substring(F.concat_ws("\0", F.col("key"), F.col("path"), F.lpad(F.hex(F.xxhash64("id")), 16, "0")), 1, PLACE)
     total = pages.count()
     share = min(1.0, SAMPLE_PER_PART * n / max(1, total))
     sample = sorted(r[0] for r in urls.select(place.alias("place")).sample(share, seed=11).limit(4 * SAMPLE_PER_PART * n).collect())
     cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
-    # part of a place: how many cut points are not above it
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<string>")
-    part = lambda at: F.size(F.filter(bounds, lambda c: c <= at))
+    part = lambda at: below(cuts, at)
     urls = urls.select(part(place).alias("part"), "key", F.lit(True).alias("is_url"), "path", F.struct("id", "host", "path").alias("row"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("verdict"))
     first, last = part(F.col("key")), part(F.concat(F.col("key"), F.lit(TOP)))
     rules = rules.withColumn("part", F.explode(F.sequence(first, last)))
     rules = rules.select("part", "key", F.lit(False).alias("is_url"), "path", F.lit(None).cast(urls.schema["row"].dataType).alias("row"), "name", "verdict")
-    rows = urls.unionByName(rules).repartition(n, "part").sortWithinPartitions("part", "key", "is_url")
+    rows = urls.unionByName(rules).repartitionById(n, "part").sortWithinPartitions("part", "key", "is_url")
     kind = urls.schema["row"].dataType.simpleString()
     judged = rows.mapInArrow(lambda it: sweep(it, default), f"row {kind}, rule string, verdict string")
     return judged.select(F.col("row.id").alias(id_col), "row.host", "row.path", "rule", "verdict")
