@@ -36,8 +36,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Digests are computed once and kept. Misra-Gries summaries, one per task,
     name digests that may hold more than rows / counters rows; their exact counts
     and winners are verified with partial aggregation and broadcast (WINNERS at
-    most), so frequent groups never shuffle. All other groups, which are smaller
-    than an average shuffle partition, meet in an ordinary window.
+    most), so frequent groups never shuffle. All other groups hold at most about
+    rows / counters rows (a share of a shuffle partition while there are fewer
+    than WINNERS / 1.5 of these), and meet in an ordinary window, which can spill.
+    Ids must cast to long.
     """
     n = shuffle_partitions(docs)
     counters = counters or min(WINNERS, max(1024, 4 * n))

@@ -101,7 +101,9 @@ def pack(docs: DataFrame, tokenizer: str, eos: int | None = None, size: int = 40
     unsigned 32-bit ids), doc_tokens, sequence_id, offset. A null text is empty;
     a document is its ids and eos, cut every size ids; documents without any id
     (no eos) give no row. Repeated rows and null ids are packed like any others,
-    each on its own. Empty tables give no rows.
+    each on its own. Empty tables give no rows. Ids must cast to long; other columns
+    are not read; a text is encoded whole, in memory of some ten bytes for each of
+    its own.
 
     tokenizer: a tokenizers file, at the same path on all executors; words: see
     Encoder. Texts are read once; a piece keeps its number among its task's

@@ -111,8 +111,11 @@ def packed_sequences(docs: DataFrame, tokenizer: str, eos: int | None = None, si
     are packed each. Ids that kind can't hold raise ValueError.
 
     Tasks pack blocks of about block_tokens ids as they read, so there is no
-    shuffle and memory is bounded; a block number holds the task's number, and a
-    task that runs again gives the same rows.
+    shuffle and memory is bounded (by the longest text beside that). A block number
+    holds the task's number. Over files a task that runs again gives the same rows;
+    docs whose rows can come in another order then (after a shuffle) should be
+    written first, lest blocks of two runs mix. Ids must cast to long; other
+    columns are not read.
     """
     from pyspark.sql import functions as F
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -17,6 +18,18 @@ ODD_BLANKS = re.compile("[\x1c-\x1f]")
 #: Punctuation that ends a word; the pattern makes it a token apart from letters before it.
 TAIL = ".,;:!?|"
 
+#: The normaliser and the pre-tokenizer, as their file spells them, for which word by word is the same as whole.
+#: Both treat each run of non-blanks by itself: blanks only part, case and composition don't cross them, and no piece holds one.
+BY_WORD_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+BY_WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+BY_WORD_PIECES = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": BY_WORD_PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 #: Places in which words that came once are marked.
 SLOTS = 1 << 22
 
@@ -25,12 +38,20 @@ PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 SPELLED = {b: chr(b) for b in PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
 
 
+def by_word(spec: str) -> bool:
+    """Whether the tokenizer of this JSON text gives a text's ids word by word; else texts are encoded whole."""
+    own = json.loads(spec)
+    tokens = [t["content"] for t in own.get("added_tokens") or []]
+    plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in own.get("added_tokens") or [])
+    plain = plain and all(t and not re.search(r"\s", t) for t in tokens) and not own.get("post_processor") and not own.get("truncation") and not own.get("padding")
+    return plain and own["model"]["type"] == "BPE" and not own["model"].get("dropout") and own.get("normalizer") == BY_WORD_NORMALISER and own.get("pre_tokenizer") == BY_WORD_PIECES
+
+
 class Encoder(dict):
     """ids of whole texts, word by word: a cache from each run of non-blanks to its ids' bytes.
 
-    For lower-casing byte-level tokenizers whose patterns split at white space,
-    drop it and part letters from punctuation; with words=False texts are encoded
-    whole. Words of letters up to U+00FF go straight to the model if it spells
+    Only for tokenizers that by_word() knows to allow it; by any other, and with
+    words=False, texts are encoded whole. Words of letters up to U+00FF go straight to the model if it spells
     them as encode does. At most limit words that came twice are held, and those
     of one full cache before.
     """
@@ -42,7 +63,7 @@ class Encoder(dict):
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model = tokenizer.encode, tokenizer.model
         self.end = np.array([] if eos is None else [eos], "<u4").tobytes()
-        self.words, self.limit, self.old = words, limit, {}
+        self.words, self.limit, self.old = words and by_word(tokenizer.to_str()), limit, {}
         self.seen, self.marked = bytearray(SLOTS), 0
         self.letters = {i: "".join(SPELLED[b] for b in chr(i).encode()) for i in range(256) if chr(i).isalpha()}
         trial = ["the", "unlikelihood", "\u00e9t\u00e9", "stra\u00dfe", "\u00aa\u00b5\u00ba", "zzqxv\u00ff"]
