@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the columns
-of documents.
+of documents, whatever they are beside doc_id, text and n_chars.
+
+Stages judge rows, not ids: rows with null ids and rows that repeat an id with another
+text are documents of their own. Rows that repeat id and text are judged alike, but the
+third stage keeps one of them. Null and empty texts are neither toxic, repeated, near
+copies nor leaks, and stay. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -14,16 +19,25 @@ from waymark.llm.common import cut, written
 from waymark.llm.queries import TOXIC, table, toxicity_model, word_tokenizer
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, longer if docs has a column of that name."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier, fitted on docs' labelled rows, finds toxic."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    own = unused(docs, "toxicity")
+    return toxicity.score(docs, model, into=own).where(F.col(own) < TOXIC).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later occurrences of repeated lines and of sentences in long lines; documents of which nothing is left go."""
-    lines = line_dedup.dedup_passages(docs)
-    was_cut = F.size("removed") > 0
+    own = unused(docs, "removed")
+    lines = line_dedup.dedup_passages(docs, into=own)
+    was_cut = F.size(own) > 0
     left = lines.where(~was_cut | (F.trim("text", F.lit(line_dedup.BLANKS + "\n")) != ""))
     return left.withColumn("n_chars", F.when(was_cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -1,5 +1,6 @@
 """The operators on small tables: brute force, nulls, ties, repeated rows, empty tables, clashing columns."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -210,10 +211,15 @@ def test_misra_gries_names_the_frequent():
     assert b"hot" in found.column("digest").to_pylist() and found.num_rows <= 10
 
 
-def reference_ids(text):
+@functools.cache
+def whole_tokenizer():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(TOKENIZER).encode(text or "", add_special_tokens=False).ids, 2]
+    return Tokenizer.from_file(TOKENIZER)
+
+
+def reference_ids(text):
+    return [*whole_tokenizer().encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_encoder():
@@ -543,3 +549,45 @@ def test_clusters_of_many_blocks(spark, monkeypatch, limit):
     docs = {i: " ".join(base[: 60 + i]) for i in range(140)}
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.jaccard_groups(frame(spark, docs)).collect()}
     assert got == brute.groups(docs, 3, 90)
+
+
+def test_encoder_of_every_tokenizer():
+    """Word by word only where the file allows it; ids are those of the whole text by all files."""
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    r = random.Random(14)
+    letters = "aB'sé \t\nİ\x1c\x85\xa0  字1.,!ßÉ́ÿ;|"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(200)] + ["The quick  brown fox. It's 12\n\nover"]
+    by = {}
+    for path in sorted(Path(TOKENIZER).parent.glob("*.json")):
+        whole, own = Tokenizer.from_file(str(path)), tokens.Encoder(str(path), None)
+        by[path.name] = own.words
+        for text in texts:
+            assert np.frombuffer(own.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert by["word_bpe_49k.json"] and not by["byte_bpe_50k.json"]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 17])
+def test_line_dedup_of_many_equal_rows(spark, monkeypatch, limit):
+    """Equal rows, with and without ids, have their spans once; both ways of joining."""
+    monkeypatch.setattr(line_dedup, "BROADCAST", limit)
+    same = "a\nb\nc\nd\na\nb\nc\nz"
+    rows = spark.createDataFrame([(5, same, "", "", 1)] * 300 + [(None, "q\nr\ns\nq\nr\ns", "", "", 1)] * 200, DOCS).withColumn("removed", F.lit("x"))
+    got = line_dedup.dedup_lines(rows, into="spans")
+    assert set(got.columns) == set(rows.columns) | {"spans"}
+    assert {(r.doc_id, r.text, len(r.spans), r.removed) for r in got.collect()} == {(5, "a\nb\nc\nd\nz", 1, "x"), (None, "q\nr\ns", 1, "x")}
+
+
+def test_below_is_a_binary_search(spark):
+    for n in (0, 1, 2, 7, 8, 100):
+        cuts = [f"{i:03}" for i in range(0, 2 * n, 2)]
+        got = spark.range(2 * n + 2).select(F.format_string("%03d", "id").alias("at")).select("at", url_filter.below(cuts, F.col("at")).alias("k")).collect()
+        assert all(r.k == sum(c <= r.at for c in cuts) for r in got)
+
+
+def test_long_urls(spark):
+    urls = ["http://example.org/es/" + "x" * 300_000, "http://" + "a." * 50_000 + "example.org/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(None, urls[0])], "page_id bigint, url string")
+    assert {r.rule for r in url_filter.filter_urls(pages, RULES).collect()} == {"example.org/es/"}
