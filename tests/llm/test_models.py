@@ -189,3 +189,10 @@ for name, query in entry.queries().items():
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert out.returncode == 0, out.stderr[-3000:]
     assert out.stdout.count("done") == 12
+
+
+def test_pairs_of_long_sentences_come_in_bounded_lists():
+    pairs = [("x" * 300_000, "y" * 300_000)] * 3 + [("a", "b")] * 5000
+    lists = list(toxicity.bounded(iter(pairs)))
+    assert [p for x in lists for p in x] == pairs
+    assert all(sum(len(a) + len(b) for a, b in x[:-1]) < common.CHUNK_BYTES for x in lists)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import U64, Words, bounded_share, chunks, cut, kept, shipped, small_batches
+from .common import CHUNK_BYTES, U64, Words, bounded_share, chunks, cut, kept, shipped, small_batches
 
 #: Labelled rows that the classifier is fitted on, about, at most.
 FIT_ROWS = 8_000
@@ -112,12 +112,24 @@ def sparse_rows(batches, groups):
 
     for batch, texts in chunks(batches):
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(sets(texts), schema.field("x").type), pa.nulls(len(texts), schema.field("c").type)], schema=schema)
-        pairs = [p for t in texts.to_pylist() for p in pairs_of(t)]
-        for at in range(0, len(pairs), 4096):
-            x, c = (sets(pa.array(side, pa.large_string())) for side in zip(*pairs[at : at + 4096]))
+        for pairs in bounded(p for t in texts.to_pylist() for p in pairs_of(t)):
+            x, c = (sets(pa.array(side, pa.large_string())) for side in zip(*pairs))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int32()), pa.array(x, schema.field("x").type), pa.array(c, schema.field("c").type)], schema=schema)
 
 
+def bounded(pairs):
+    """Lists of pairs with about CHUNK_BYTES characters, or one pair: what reads like one sentence can be a whole long text."""
+    held, size = [], 0
+    for p in pairs:
+        held.append(p)
+        size += len(p[0]) + len(p[1])
+        if size >= CHUNK_BYTES or len(held) >= 4096:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def split(found: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
     order = np.argsort(row, kind="stable")
     found, ends = found[order], np.searchsorted(row[order], np.arange(n + 1))
