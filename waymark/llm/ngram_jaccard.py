@@ -532,15 +532,16 @@ def blocked(wanted: DataFrame, t: int) -> DataFrame:
     neighbours, by the logarithm of their sizes; the base is a little wide, so that
     rounding can't part them.
     """
-    by_cluster = wanted.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
-    large = by_cluster.where((F.col("k") > BLOCK) | (F.col("tokens") > BLOCK_TOKENS)).select("cluster", F.lit(True).alias("large"))
-    level = F.when(F.col("large"), F.floor(F.log(F.col("n")) / F.lit(math.log(100 / t) * 1.0001 if t < 100 else 1.0)).cast("long") + 1).otherwise(F.lit(0).cast("long"))
-    levelled = wanted.join(large, "cluster", "left").withColumn("level", level).drop("large")
-    many = F.greatest(F.least(F.lit(16), F.ceil(F.count("*") / BLOCK)), F.ceil(F.count("*") / PAIRED), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("long")
-    counts = levelled.where("level > 0").groupBy("cluster", "level").agg(many.alias("blocks"))
-    order = Window.partitionBy("cluster").orderBy("level")
-    near = lambda f, by: F.when(f("level").over(order) == F.col("level") + by, f("blocks").over(order)).otherwise(F.lit(0)).cast("long")
-    counts = counts.select("cluster", "level", "blocks", near(F.lead, 1).alias("up"), near(F.lag, -1).alias("down"))
-    out = levelled.join(counts, ["cluster", "level"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.col("level") * F.lit(1 << 32).cast("long") + F.pmod(F.xxhash64("node"), F.col("blocks"))
-    return out.withColumn("block", block).fillna(0, ["up", "down"]).drop("level")
+    level = (F.floor(F.log(F.col("n")) / F.lit(math.log(100 / t) * 1.0001 if t < 100 else 1.0)) + 1).cast("long")
+    levelled = wanted.withColumn("level", level)
+    counts = levelled.groupBy("cluster", "level").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
+    many = F.greatest(F.least(F.lit(16), F.ceil(F.col("k") / BLOCK)), F.ceil(F.col("k") / PAIRED), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long")
+    whole = Window.partitionBy("cluster")
+    order = whole.orderBy("level")
+    one = (F.sum("k").over(whole) <= BLOCK) & (F.sum("tokens").over(whole) <= BLOCK_TOKENS)
+    counts = counts.select(apart("cluster").alias("cluster"), apart("level").alias("level"), many.alias("blocks"), one.alias("one"))
+    near = lambda f, by: F.when(~F.col("one") & (f("level").over(order) == F.col("level") + by), f("blocks").over(order)).otherwise(F.lit(0)).cast("long")
+    counts = counts.select("cluster", "level", "one", F.when(F.col("one"), F.lit(1)).otherwise(F.col("blocks")).cast("long").alias("blocks"), near(F.lead, 1).alias("up"), near(F.lag, -1).alias("down"))
+    out = levelled.join(counts, ["cluster", "level"])
+    level = F.when(F.col("one"), F.lit(0).cast("long")).otherwise(F.col("level"))
+    return out.withColumn("block", level * F.lit(1 << 32).cast("long") + F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("level", "one")
