@@ -22,8 +22,14 @@ SENTENCE = 10
 
 #: Where texts part into lines, and long lines into sentences. Both match no character, so the pieces make up the text; Java and Python read them alike.
 #: A sentence starts anew wherever the characters before say so, with no look at outer blanks or at earlier sentences.
+#: What all ways of ending have in common is looked for first, which most places fail at once.
 LINE_ENDS = "(?<=\n)"
-SENTENCE_ENDS = "|".join([f"(?<=[^.!?\\n{BLANKS}][^.!?]{{{n}}}[.!?]{quote}[ \t])" for n in (SENTENCE - 1, SENTENCE) for quote in ("", "[\"')\\]]")] + [r"(?<=[\u3002\uff01\uff1f])"])
+MARKED = "|".join(f"(?<=[.!?]{quote}[ \t])" for quote in ("", "[\"')\\]]"))
+SENTENCE_ENDS = (
+    f"(?<=[ \t])(?:{MARKED})(?:"
+    + "|".join(f"(?<=[^.!?\\n{BLANKS}][^.!?]{{{n}}}[.!?]{quote}[ \t])" for n in (SENTENCE - 1, SENTENCE) for quote in ("", "[\"')\\]]"))
+    + r")|(?<=[\u3002\uff01\uff1f])"
+)
 
 
 def full_lines(text: Column) -> Column:
