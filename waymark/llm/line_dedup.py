@@ -11,7 +11,7 @@ from .common import apart, cut, small_batches
 
 #: Documents that lose lines, and spans in all, up to which the spans are broadcast; beyond, they and the texts shuffle.
 BROADCAST = 1 << 17
-BROADCAST_SPANS = 1 << 20
+BROADCAST_SPANS = 1 << 18
 
 #: Blanks that are trimmed off a line before it is compared.
 BLANKS = " \t\v\f\r"
