@@ -25,7 +25,7 @@ RADIUS = 16
 BLOCKS = (13, 13, 13, 13, 12)
 
 #: Rows up to which a table made from the benchmark is broadcast; beyond, joins shuffle.
-BROADCAST = 1 << 20
+BROADCAST = 1 << 16
 
 #: Window starts that a row of a document's hashes is for.
 SEGMENT = 4096
@@ -198,9 +198,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     prints = weighed.groupBy(*WINDOW).agg(*fingerprint()).select(*WINDOW, "all", bits_of_sums().alias("fp"))
     item_prints = parts.withColumn("weight", F.col("n") * F.col("weight")).groupBy("item", "item_id", "m").agg(*fingerprint())
     item_prints = cut(item_prints.select("item", "item_id", "m", F.col("all").alias("item_all"), bits_of_sums().alias("item_fp")))
-    listed = item_prints.select("*", F.explode(blocks(F.col("item_fp"), radius)).alias("key"))
+    listed = item_prints.select("item", "m", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("key"))
     met = prints.select("*", F.explode(blocks(F.col("fp"))).alias("key")).join(broadcast_sized(listed, n_items * sum(map(len, flips(radius))), BROADCAST), ["m", "key"])
-    near = cut(met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).drop("key", "fp", "item_fp").distinct())
+    near = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).drop("key", "fp", "item_fp").distinct()
+    near = cut(near.join(broadcast_sized(item_prints.select("item", "item_id", "item_all"), n_items, BROADCAST), "item"))
 
     theirs = broadcast_sized(parts.select("item", "g", F.col("n").alias("item_n"), "weight"), n_rows, BROADCAST)
     common = shingles(near).join(theirs, ["item", "g"]).groupBy(*near.columns, "g", "item_n", "weight").agg(F.count("*").alias("n"))
