@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_sized, cut
+from .common import broadcast_sized, cut, tidy
 
 #: Words of a shingle, and the similarity that counts as a leak, in percent.
 SHINGLE = 5
@@ -181,6 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     segments = F.transform(bases, lambda a: F.struct(a.alias("base"), F.slice("h", a + 1, F.lit(SEGMENT) + F.col("longest")).alias("h")))
     segments = hashed.select("id", "th", "n_words", "width", F.explode_outer(segments).alias("x")).select("id", "th", "n_words", "width", "x.*").dropDuplicates(["id", "th", "width", "base"])
     segments = cut(segments.withColumn("seg", F.monotonically_increasing_id()))
+    tidy(docs.sparkSession)
 
     places = segments.select("seg", "base", "n_words", "width", F.posexplode_outer("h").alias("at", "g"))
     hits = places.join(broadcast_sized(anchors, n_rows, BROADCAST), ["width", "g"]).withColumn("pos", F.col("base") + F.col("at"))
@@ -202,6 +203,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     met = prints.select("*", F.explode(blocks(F.col("fp"))).alias("key")).join(broadcast_sized(listed, n_items * sum(map(len, flips(radius))), BROADCAST), ["m", "key"])
     near = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).drop("key", "fp", "item_fp").distinct()
     near = cut(near.join(broadcast_sized(item_prints.select("item", "item_id", "item_all"), n_items, BROADCAST), "item"))
+    tidy(docs.sparkSession)
 
     theirs = broadcast_sized(parts.select("item", "g", F.col("n").alias("item_n"), "weight"), n_rows, BROADCAST)
     common = shingles(near).join(theirs, ["item", "g"]).groupBy(*near.columns, "g", "item_n", "weight").agg(F.count("*").alias("n"))

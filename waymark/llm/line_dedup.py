@@ -7,7 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import apart, cut, small_batches
+from .common import apart, cut, small_batches, tidy
 
 #: Documents that lose lines, and spans in all, up to which the spans are broadcast; beyond, they and the texts shuffle.
 BROADCAST = 1 << 17
@@ -170,6 +170,7 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, units, size: int, cut_out
     later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("stays")))
     # rows that repeat id and text have the same spans
     spans = cut(later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans_found")))
+    tidy(docs.sparkSession)
     n, many = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans_found")), F.lit(0))).first()
     spans = spans.select(F.col("id").alias("id_found"), F.col("th").alias("th_found"), "spans_found").hint("broadcast" if n <= BROADCAST and many <= BROADCAST_SPANS else "shuffle_hash")
     both = key.join(spans, F.col("id").eqNullSafe(F.col("id_found")) & (F.col("th") == F.col("th_found")), "left")

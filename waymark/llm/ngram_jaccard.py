@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, Words, apart, chunks, cut, kept, mix, shuffle_partitions, small_batches, star
+from .common import U64, Words, apart, chunks, cut, kept, mix, shuffle_partitions, small_batches, star, tidy
 
 #: A token in more documents is frequent: the orders put it last, and no pairs are made from it.
 LIGHT = 48
@@ -460,6 +460,8 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     for r in counts.mapInArrow(lambda it: frequent(it, light, bits), "bucket int, marks binary").collect():
         marks[r.bucket * slot_bytes : (r.bucket + 1) * slot_bytes] = r.marks
     shared = spark.sparkContext.broadcast(bytes(marks))
+    del marks
+    tidy(spark)
 
     profiles = first.where("bucket is null").select("id", "th", "n", "c1", "c2")
     classes = cut(profiles.where("n > 0").groupBy("c1", "c2").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("named"), F.min("th").alias("th"), F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("first"), F.max("n").alias("n")))
@@ -483,6 +485,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
         enough = F.col(f"shared{o}") >= F.col(f"needed{o}")
         both = both.where(F.col("linked") | F.coalesce(enough, may))
     clusters = star(both.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    tidy(spark)
 
     wanted = classes.join(clusters, "node").select("node", "c1", "c2", "n", F.col("named.id").alias("wid"), F.coalesce("named.th", "th").alias("wth"), F.col("root").alias("cluster"))
     wanted = cut(blocked(wanted, t))
@@ -497,6 +500,8 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     spread = sets.withColumn("other", F.explode_outer(others_of)).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "tokens")
     spread = spread.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = cut(spread.mapInArrow(lambda it: links_of(it, t), "u long, v long, n long"))
+    shared.unpersist()
+    tidy(spark)
 
     groups = star(links.where("n = 0").select("u", "v"))
     numbers = links.where("n > 0").groupBy("u").agg(F.sum("n").alias("n_links")).withColumnRenamed("u", "node")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import CHUNK_BYTES, U64, Words, bounded_share, chunks, cut, kept, shipped, small_batches
+from .common import CHUNK_BYTES, U64, Words, bounded_share, chunks, cut, kept, shipped, small_batches, tidy
 
 #: Labelled rows that the classifier is fitted on, about, at most.
 FIT_ROWS = 8_000
@@ -252,6 +252,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", g
     if isinstance(found, Model):
         return found
     names, x, y, c, times = found
+    tidy(labelled.sparkSession)
     return fit_rows(names, x, y, c, counterfactual=counterfactual, times=times)
 
 
