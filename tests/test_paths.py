@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import paths as L
-from waymark.plans.constraints import PyConstraint, adjacent_equal, all_of, monotonic, naive, range_bound, same_value, sum_at_least
+from waymark.plans.constraints import PyConstraint, adjacent_equal, all_of, monotonic, naive, py_all_of, py_trail, range_bound, same_value, sum_at_least
 from waymark.plans.nfa import Nfa, compile_regex
 from waymark.plans.query import PathQuery, counted
 
@@ -67,11 +67,7 @@ def test_against_search(spark, seed, name):
     constraint, valid = {"rising": (monotonic("weight"), rising), "near": (range_bound("weight", 1.0), near), "same": (same_value("color"), same), "free": (None, lambda p: True), "walk": (None, lambda p: True)}[name]
     for nfa in (compile_regex("(a|b)+"), AMBIGUOUS):
         want = search(rows, nfa, [0, 1], 1, 3, valid, name != "walk")
-        semantics = "walk" if name in ("walk", "rising") else "trail"
-        query = PathQuery(edges, nfa, [0, 1], 3, 1, constraint, semantics, collect=("edge_id",))
-        if name == "rising":
-            query = PathQuery(edges, nfa, [0, 1], 3, 1, constraint, "trail" if None in [r[4] for r in rows] else semantics, collect=("edge_id",))
-            want = [w for w in want] if all(r[4] is not None for r in rows) else search(rows, nfa, [0, 1], 1, 3, rising, False)
+        query = PathQuery(edges, nfa, [0, 1], 3, 1, constraint, "walk" if name == "walk" else "trail", collect=("edge_id",))
         got = sorted((r.start, r.end_node, r.nfa_state, tuple(r.edge_ids)) for r in query.paths().collect())
         assert got == sorted(want)
 
@@ -128,3 +124,35 @@ def test_list_functions(spark):
 def test_counted(spark):
     paths = spark.createDataFrame([(1, 2), (1, 3)], "path_length int, n bigint")
     assert counted(paths, "path_length").first().n_paths == 5
+
+
+def test_trails_with_null_keys_repeat_no_edge(spark):
+    edges = spark.createDataFrame([(5, 0, 0, "a", None, "x"), (6, 0, 0, "a", 1.0, "x")], SCHEMA)
+    for grouped in (False, True):
+        got = PathQuery(edges, compile_regex("a+"), [0], 4, 1, monotonic("weight"), grouped=grouped).by_length().collect()
+        assert {r.path_length: r.n_paths for r in got} == {1: 2, 2: 1}
+
+
+def test_python_values_are_exact(spark):
+    """Integers beside nulls stay integers; checks must be boolean."""
+    big = (1 << 53) + 1
+    edges = spark.createDataFrame([(big, 0, 1, "a"), (None, 0, 1, "a"), (5, 1, 2, "a")], "edge_id bigint, src bigint, dst bigint, label string")
+    seen = PyConstraint(lambda: {"ids": []}, lambda D, f, t, e: {"ids": [*D["ids"], e["edge_id"]]}, is_valid_final=lambda D: D["ids"] == [big, 5] and type(D["ids"][0]) is int, columns=("edge_id",))
+    typed = PyConstraint(seen.init, seen.update, seen.is_valid, seen.is_valid_final, columns=seen.columns, state="ids array<bigint>")
+    for c in (seen, typed):
+        assert PathQuery(edges, compile_regex("a a"), [0], 2, 2, c, "walk").count().first().n_paths == 1
+    bad = PyConstraint(dict, lambda D, f, t, e: D, lambda D, f, t, e: 1, columns=("edge_id",))
+    with pytest.raises(Exception, match="must give True or False"):
+        PathQuery(edges, compile_regex("a"), [0], 1, 1, bad, "walk").count().first()
+
+
+def test_python_constraints_compose(spark):
+    rows = [r[:4] + (float(i % 4),) + r[5:] for i, r in enumerate(graph(13))]
+    edges = spark.createDataFrame(rows, SCHEMA)
+    nfa = compile_regex("(a|b)+")
+    up = PyConstraint(lambda: None, lambda D, f, t, e: e["weight"], lambda D, f, t, e: D is None or e["weight"] > D, columns=("weight",))
+    few = PyConstraint(lambda: {"n": 0}, lambda D, f, t, e: {"n": D["n"] + 1}, is_valid_final=lambda D: D["n"] <= 2, finalize=lambda D: {"n": D["n"]}, state="n bigint")
+    want = len([p for p in search(rows, nfa, [0, 1], 1, 3, rising) if len(p[3]) <= 2])
+    for c in ((up, few, py_trail()), (monotonic("weight"), few)):
+        assert PathQuery(edges, nfa, [0, 1], 3, 1, c, "walk").count().first().n_paths == want
+    assert py_all_of(few, py_trail()).state == "p0 struct<n:bigint>, p1 struct<ids:array<bigint>>"

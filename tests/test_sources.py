@@ -48,3 +48,16 @@ def test_by_label_and_keys(spark, tmp_path):
     assert G.assert_unique(edges, "edge_id") is edges
     with pytest.raises(ValueError):
         G.assert_unique(edges, "src")
+
+
+def test_json_leaves_out_nan_and_null(spark):
+    edges = spark.createDataFrame([(1, 2, 3, "a", float("nan"), None), (2, 2, 3, "a", 1.5, 2.5)], "edge_id bigint, src bigint, dst bigint, label string, amount double, risk_score double")
+    found = [json.loads(r.edge_json) for r in G.edge_json(edges).orderBy("edge_id").collect()]
+    assert "amount" not in found[0] and "risk_score" not in found[0] and (found[1]["amount"], found[1]["risk_score"]) == (1.5, 2.5)
+
+
+def test_one_label_reads_one_folder(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 1, 2, "a"), (1, 1, 2, "b"), (2, 4, 2, "b")], "edge_id bigint, src bigint, dst bigint, label string")
+    G.write_by_label(edges, str(tmp_path / "p"))
+    own = G.read_label(spark, str(tmp_path / "p"), "b")
+    assert own.count() == 2 and "PartitionFilters: [isnotnull(label" in own._jdf.queryExecution().toString()

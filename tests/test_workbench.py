@@ -1,6 +1,9 @@
+import time
+
 import pytest
 
-from waymark import cli, workbench
+from waymark import cli, harness, workbench
+from waymark.plans.nfa import compile_regex
 
 SCHEMA = "edge_id bigint, src bigint, dst bigint, label string, weight double, color string"
 
@@ -32,3 +35,30 @@ def test_cli(spark, tmp_path, capsys):
     for query, want in (("monotonic", 1), ("two-color", 1), ("max-min", 2), ("walk", 2)):
         assert cli.main([*args, "--query", query, "--start", "1", "--max-length", "2"]) == [want]
     assert "paths of length [2, 2]" in capsys.readouterr().out
+
+
+def test_scaffold_runs():
+    own: dict = {}
+    exec(workbench.scaffold(compile_regex("(a | b) c+")), own)
+    text = workbench.scaffold("a+")
+    assert "case (0, 1):  # a" in text and "case (1, 1):  # a" in text
+    assert own["is_viable_d"](1, 0, 1, {}) is True and own["update_d"]("D", 2, 3, {}) == "D"
+
+
+def test_dry_run():
+    sums = {"init_d": lambda: 0, "update_d": lambda D, f, t, e: D + e["weight"], "is_viable_d": lambda D, f, t, e: e["weight"] > 0, "finalize_d": lambda D: -D, "is_viable_d_final": lambda D: D == -3}
+    edges, moves = [{"weight": 1}, {"weight": 2}, {"weight": 0}, {"weight": 9}], [(0, 1), (1, 1), (1, 1), (1, 1)]
+    assert workbench.dry_run(sums, edges, moves) == {"steps": 2, "state": -3, "accepted": True}
+    for name in ("is_viable_d", "is_viable_d_final"):
+        with pytest.raises(TypeError, match=name):
+            workbench.dry_run(sums | {name: lambda *a: None}, edges, moves)
+
+
+def test_sweep_stops(spark):
+    got = harness.sweep(spark, lambda n: max(0, 3 - n), range(1, 9), warmups=0, runs=2)
+    assert [(n, t.result) for n, t in got] == [(1, 2), (2, 1), (3, 0)] and len(got[0][1].seconds) == 2
+    assert set(got[0][1].summary) == {"avg", "min", "max", "median"}
+    slow = lambda n: spark.range(4, numPartitions=4).rdd.map(lambda x: time.sleep(30) or 1).sum() if n > 1 else 1
+    began = time.perf_counter()
+    assert [t is None for _, t in harness.sweep(spark, slow, (1, 2, 3), warmups=0, runs=1, limit=2)] == [False, True]
+    assert time.perf_counter() - began < 25 and spark.range(3).count() == 3

@@ -30,11 +30,9 @@ def seeds(edges: DataFrame, starts: DataFrame | list[int], nfa: Nfa) -> DataFram
 
 def can_accept(product: DataFrame, nfa: Nfa, steps: int) -> list[DataFrame]:
     """For k = 0 .. steps: the (v, s) from which an accepting state is k moves away at most."""
-    spark = product.sparkSession
     moves = product.select("src", "from_state", "dst", "to_state").distinct()
     nodes = moves.select(F.col("src").alias("v")).union(moves.select("dst")).distinct()
-    accepting = spark.createDataFrame([(s,) for s in nfa.accepting], "s int")
-    out = [nodes.crossJoin(F.broadcast(accepting))] if nfa.accepting else [nodes.limit(0).withColumn("s", F.lit(0))]
+    out = [nodes.withColumn("s", F.explode(F.array(*map(F.lit, nfa.accepting)).cast("array<int>")))]
     for _ in range(steps):
         near = out[-1]
         before = moves.join(near, (moves.dst == near.v) & (moves.to_state == near.s)).select(F.col("src").alias("v"), F.col("from_state").alias("s"))

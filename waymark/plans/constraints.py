@@ -12,8 +12,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -40,9 +43,10 @@ class Constraint:
 
 
 def all_of(*parts: Constraint) -> Constraint:
-    """All parts at once. A trail is left out beside a part whose key strictly rises: no edge can come twice."""
-    if any(p.increasing for p in parts):
-        parts = tuple(p for p in parts if not p.keeps_ids)
+    """All parts at once. Beside a part whose key strictly rises a trail need only watch edges without a key."""
+    key = next((p.increasing for p in parts if p.increasing), None)
+    if key:
+        parts = (*(p for p in parts if not p.keeps_ids), *([trail_of_nulls(key)] if any(p.keeps_ids for p in parts) else []))
     named = list(enumerate(parts))
     inner = lambda step, i: Step(lambda n: step.state(f"{n}_{i}"), step.edge, step.from_state, step.to_state)
 
@@ -74,6 +78,21 @@ def trail(edge_id: str = "edge_id") -> Constraint:
     )
 
 
+def trail_of_nulls(key: str, edge_id: str = "edge_id") -> Constraint:
+    """No edge twice, beside a strictly rising key: edges with a key can't repeat, and those without come first.
+
+    So only the ids of a path's first edges without a key are held, none where keys
+    aren't null, and frontier rows still merge.
+    """
+    none = F.array().cast("array<bigint>")
+    return Constraint(
+        {"early": ("array<bigint>", None)},
+        lambda s: {"early": F.when(s.edge(key).isNull(), F.array_append(s.state("early"), s.edge(edge_id))).otherwise(none)},
+        lambda s: s.edge(key).isNotNull() | ~F.array_contains(s.state("early"), s.edge(edge_id)),
+        needs=(key, edge_id),
+    )
+
+
 def monotonic(key: str, kind: str = "double") -> Constraint:
     """The edge column strictly rises along the path."""
     return Constraint(
@@ -143,13 +162,20 @@ def risk_then_fraud(key: str, spread: float, least: float, normal: int = 1, frau
     )
 
 
+def truth(value, name: str) -> bool:
+    if not isinstance(value, (bool, np.bool_)):
+        raise TypeError(f"{name} must give True or False, not {value!r}")
+    return bool(value)
+
+
 @dataclass(frozen=True)
 class PyConstraint:
-    """User callables over a JSON-like state. They see edges as dicts (columns), nulls as None.
+    """User callables over a state. They see edges as dicts (columns) of Python values, nulls as None.
 
     init() -> D; update(D, from_state, to_state, edge) -> D; is_valid(D, from, to,
     edge) -> bool; finalize(D) -> D; is_valid_final(D) -> bool. A step is one Arrow
-    UDF that checks and updates together.
+    UDF that checks and updates together. state: the fields of a dict D with their
+    types, which then travels as a struct; without it D may be anything like JSON.
     """
 
     init: Callable[[], Any]
@@ -158,33 +184,58 @@ class PyConstraint:
     is_valid_final: Callable[[Any], bool] = lambda D: True
     finalize: Callable[[Any], Any] = lambda D: D
     columns: tuple[str, ...] = ()
+    state: str | None = None
+
+    @property
+    def kind(self) -> str:
+        return StructType.fromDDL(self.state).simpleString() if self.state else "string"
 
     def step(self):
-        init, update, is_valid = self.init, self.update, self.is_valid
-
-        @F.pandas_udf("ok boolean, state string")
-        def run(state: pd.Series, from_state: pd.Series, to_state: pd.Series, edge: pd.DataFrame) -> pd.DataFrame:
-            names, ok, out = list(edge.columns), [], []
-            for d, f, t, *values in zip(state, from_state, to_state, *(edge[c] for c in names)):
-                own = init() if d is None else json.loads(d)
-                row = {k: None if v is None or v != v else v.item() if hasattr(v, "item") else v for k, v in zip(names, values)}
-                good = bool(is_valid(own, int(f), int(t), row))
+        init, update, is_valid, typed = self.init, self.update, self.is_valid, self.state is not None
+        arrow = to_arrow_type(StructType.fromDDL(self.state)) if typed else pa.string()
+
+        def run(state: pa.Array, from_state: pa.Array, to_state: pa.Array, edge: pa.Array) -> pa.Array:
+            ok, out = [], []
+            for d, f, t, e in zip(state.to_pylist(), from_state.to_pylist(), to_state.to_pylist(), edge.to_pylist()):
+                own = init() if d is None else d if typed else json.loads(d)
+                good = truth(is_valid(own, f, t, e), "is_valid")
+                after = update(own, f, t, e) if good else None
                 ok.append(good)
-                out.append(json.dumps(update(own, int(f), int(t), row), default=str) if good else None)
-            return pd.DataFrame({"ok": ok, "state": out})
+                out.append(after if typed or not good else json.dumps(after, default=str))
+            return pa.StructArray.from_arrays([pa.array(ok, pa.bool_()), pa.array(out, arrow)], names=["ok", "state"])
 
-        return run
+        return F.arrow_udf(run, f"struct<ok:boolean,state:{self.kind}>")
 
     def final(self):
-        finalize, is_valid_final = self.finalize, self.is_valid_final
+        finalize, is_valid_final, typed = self.finalize, self.is_valid_final, self.state is not None
 
-        @F.pandas_udf("boolean")
-        def run(state: pd.Series) -> pd.Series:
-            return pd.Series([bool(is_valid_final(finalize(json.loads(d)))) for d in state], dtype=bool)
+        def run(state: pa.Array) -> pa.Array:
+            return pa.array([truth(is_valid_final(finalize(d if typed else json.loads(d))), "is_valid_final") for d in state.to_pylist()], pa.bool_())
 
-        return run
+        return F.arrow_udf(run, "boolean")
 
 
 def naive(is_valid_final: Callable[[list[dict]], bool], columns: tuple[str, ...]) -> PyConstraint:
     """Only complete paths are judged: the state is the list of edges, and nothing is pruned."""
     return PyConstraint(list, lambda D, f, t, e: [*D, e], is_valid_final=is_valid_final, columns=columns)
+
+
+def py_trail(edge_id: str = "edge_id") -> PyConstraint:
+    """No edge twice."""
+    return PyConstraint(lambda: {"ids": []}, lambda D, f, t, e: {"ids": [*D["ids"], e[edge_id]]}, lambda D, f, t, e: e[edge_id] not in D["ids"], columns=(edge_id,), state="ids array<bigint>")
+
+
+def py_all_of(*parts: PyConstraint) -> PyConstraint:
+    """All Python constraints at once, each with its own state; a struct if all of them are typed."""
+    if len(parts) == 1:
+        return parts[0]
+    named = [(f"p{i}", p) for i, p in enumerate(parts)]
+    return PyConstraint(
+        lambda: {k: p.init() for k, p in named},
+        lambda D, f, t, e: {k: p.update(D[k], f, t, e) for k, p in named},
+        lambda D, f, t, e: all(truth(p.is_valid(D[k], f, t, e), "is_valid") for k, p in named),
+        lambda D: all(truth(p.is_valid_final(D[k]), "is_valid_final") for k, p in named),
+        lambda D: {k: p.finalize(D[k]) for k, p in named},
+        tuple(dict.fromkeys(c for p in parts for c in p.columns)),
+        ", ".join(f"{k} {p.kind}" for k, p in named) if all(p.state for p in parts) else None,
+    )

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import paths as L
 from .operators.expand import product_edges
-from .plans.constraints import PyConstraint, adjacent_equal, all_of, monotonic, naive, range_bound, risk_then_fraud, same_value, sum_at_least
+from .plans.constraints import PyConstraint, adjacent_equal, all_of, monotonic, naive, py_trail, range_bound, risk_then_fraud, same_value, sum_at_least
 from .plans.nfa import Nfa, compile_regex, simple
-from .plans.query import PathQuery, counted, recursive_sql
-from .sources.graphs import edge_json, handoff, preview, with_edge_ids
+from .plans.query import PathQuery, counted, recursive_sql, shared_folder
+from .sources.graphs import edge_json, handoff, preview, read_edges, read_label, read_nfa, read_nodes, with_edge_ids, write_by_label, write_nfa
 
 START, MIN, MAX = 1, 2, 3
 
@@ -27,8 +28,24 @@ GENERAL = Nfa(
 )
 
 
+#: Where the session's graphs lie, by table folder.
+LOADED: dict[tuple[str, str], str] = {}
+
+
+def load(spark: SparkSession, sf_dir: str) -> str:
+    """Writes the handoff graph to the session's shared folder; queries of the session read it there."""
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    handoff(spark.read.parquet(f"{sf_dir}/events.parquet")).write.parquet(path)
+    LOADED[spark.sparkContext.applicationId, sf_dir] = path
+    return path
+
+
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return handoff(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    path = LOADED.get((spark.sparkContext.applicationId, sf_dir))
+    if path is not None:
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path = path if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there) else None
+    return spark.read.parquet(path or load(spark, sf_dir))
 
 
 def query(spark, sf_dir, constraint=None, nfa=VIEW_CLICK, max_len=MAX, starts=(START,), **more) -> PathQuery:
@@ -47,21 +64,20 @@ def late(spark, sf_dir, columns: tuple[str, ...], keep, nfa=VIEW_CLICK) -> DataF
 
 # ---- Python constraints: state is JSON-like; nulls come as None
 
-EARLIER = {"last": None}
-
-
-def later_weight(D, f, t, e):
-    return e["weight"] is not None and (D["last"] is None or e["weight"] > D["last"]) and e["edge_id"] not in D["ids"]
-
-
-MONOTONIC_PY = PyConstraint(lambda: {"last": None, "ids": []}, lambda D, f, t, e: {"last": e["weight"], "ids": [*D["ids"], e["edge_id"]]}, later_weight, columns=("weight", "edge_id"))
+MONOTONIC_PY = PyConstraint(
+    lambda: {"last": None},
+    lambda D, f, t, e: {"last": e["weight"]},
+    lambda D, f, t, e: D["last"] is None or e["weight"] is not None and e["weight"] > D["last"],
+    columns=("weight",),
+    state="last bigint",
+)
 
 TWO_COLOR_PY = PyConstraint(
-    lambda: {"color": None, "seen": False, "ids": []},
-    lambda D, f, t, e: {"color": e["color"], "seen": D["seen"] or (D["color"] is not None and D["color"] == e["color"]), "ids": [*D["ids"], e["edge_id"]]},
-    lambda D, f, t, e: e["edge_id"] not in D["ids"],
-    lambda D: D["seen"],
-    columns=("color", "edge_id"),
+    lambda: {"color": None, "seen": False},
+    lambda D, f, t, e: {"color": e["color"], "seen": D["seen"] or (D["color"] is not None and D["color"] == e["color"])},
+    is_valid_final=lambda D: D["seen"],
+    columns=("color",),
+    state="color bigint, seen boolean",
 )
 
 
@@ -71,25 +87,25 @@ def spread_py(inclusive: bool) -> PyConstraint:
         return min(known), max(known)
 
     def valid(D, f, t, e):
-        if e["edge_id"] in D["ids"] or e["weight"] is None and D["low"] is None:
+        if e["weight"] is None and D["low"] is None:
             return False
         low, high = after(D, e)
         return high - low <= BOUND if inclusive else high - low < BOUND
 
     def update(D, f, t, e):
         low, high = after(D, e)
-        return {"low": low, "high": high, "ids": [*D["ids"], e["edge_id"]]}
+        return {"low": low, "high": high}
 
-    return PyConstraint(lambda: {"low": None, "high": None, "ids": []}, update, valid, columns=("weight", "edge_id"))
+    return PyConstraint(lambda: {"low": None, "high": None}, update, valid, columns=("weight",), state="low bigint, high bigint")
 
 
 def general_update(D, f, t, e):
     risks = [x for x in (D["low"], D["high"], e["risk_score"]) if x is not None]
-    return {"low": min(risks, default=None), "high": max(risks, default=None), "last": e["risk_score"], "time": e["timestamp_ms"], "region": e["region"], "amount": D["amount"] + e["amount"], "ids": [*D["ids"], e["edge_id"]]}
+    return {"low": min(risks, default=None), "high": max(risks, default=None), "last": e["risk_score"], "time": e["timestamp_ms"], "region": e["region"], "amount": D["amount"] + e["amount"]}
 
 
 def general_valid(D, f, t, e):
-    if D["region"] is not None and D["region"] != e["region"] or D["time"] is not None and e["timestamp_ms"] <= D["time"] or e["edge_id"] in D["ids"]:
+    if D["region"] is not None and D["region"] != e["region"] or D["time"] is not None and e["timestamp_ms"] <= D["time"]:
         return False
     after = general_update(D, f, t, e)
     if t == 1:
@@ -98,11 +114,12 @@ def general_valid(D, f, t, e):
 
 
 GENERAL_PY = PyConstraint(
-    lambda: {"low": None, "high": None, "last": None, "time": None, "region": None, "amount": 0.0, "ids": []},
+    lambda: {"low": None, "high": None, "last": None, "time": None, "region": None, "amount": 0.0},
     general_update,
     general_valid,
     lambda D: D["amount"] >= 100,
-    columns=("risk_score", "timestamp_ms", "region", "amount", "edge_id"),
+    columns=("risk_score", "timestamp_ms", "region", "amount"),
+    state="low double, high double, last double, time bigint, region bigint, amount double",
 )
 
 NAIVE_PY = naive(lambda D: len({e["edge_id"] for e in D}) == len(D) and all(a["weight"] < b["weight"] for a, b in zip(D, D[1:])), ("edge_id", "weight"))
@@ -187,7 +204,7 @@ def q1_inline(spark, sf_dir):
 
 @register(Q1_SQL)
 def q1_udf(spark, sf_dir):
-    return query(spark, sf_dir, GENERAL_PY, GENERAL, semantics="walk").by_length()
+    return query(spark, sf_dir, (GENERAL_PY, py_trail()), GENERAL, semantics="walk").by_length()
 
 
 @register(oracle(RISK | TRAIL, f"{RISKY} AND {NEW}", "am >= 100", moves=GENERAL.transitions, accept=(2,), max_len=4))
@@ -207,7 +224,7 @@ def q2_inline(spark, sf_dir):
 
 @register(Q2_SQL)
 def q2_udf(spark, sf_dir):
-    return query(spark, sf_dir, TWO_COLOR_PY, semantics="walk").by_length()
+    return query(spark, sf_dir, (TWO_COLOR_PY, py_trail()), semantics="walk").by_length()
 
 
 @register(oracle(COLORS, where="ok"))
@@ -234,7 +251,7 @@ def q3_inline(spark, sf_dir):
 
 @register(Q3_SQL)
 def q3_udf(spark, sf_dir):
-    return query(spark, sf_dir, MONOTONIC_PY, semantics="walk").by_length()
+    return query(spark, sf_dir, (MONOTONIC_PY, py_trail()), semantics="walk").by_length()
 
 
 @register(oracle(MONO, LATER, max_len=4))
@@ -265,7 +282,7 @@ def q4_inline(spark, sf_dir):
 
 @register(Q4_SQL)
 def q4_udf(spark, sf_dir):
-    return query(spark, sf_dir, spread_py(True), semantics="walk").by_length()
+    return query(spark, sf_dir, (spread_py(True), py_trail()), semantics="walk").by_length()
 
 
 @register(oracle(SPREAD | TRAIL, f"{NEAR.replace('<=', '<')} AND {NEW}"))
@@ -286,7 +303,19 @@ def q4_reduce(spark, sf_dir):
 
 @register(Q1_SQL)
 def cypher_general(spark, sf_dir):
-    return q1_base(spark, sf_dir)
+    """The general path by quantifiers over the list of edges, gathered as one struct list."""
+    found = query(spark, sf_dir, nfa=GENERAL).with_walks("edge_id", "timestamp_ms", "risk_score", "amount", "region", "label").paths()
+    xs = F.arrays_zip("edge_ids", "timestamp_mss", "risk_scores", "amounts", "regions", "labels")
+    bad = lambda e: e["labels"].isin("error", "signup")
+    normal = F.filter(xs, lambda e: ~bad(e))
+    risks = F.transform(normal, lambda e: e["risk_scores"])
+    apart = lambda i: F.forall(L.positions(xs), lambda j: (j <= i) | (F.get(xs, i)["edge_ids"] != F.get(xs, j)["edge_ids"]))
+    places = F.sequence(F.lit(0), F.size(xs) - 1)
+    keep = F.forall(places, apart) & F.forall(xs, lambda e: e["regions"] == F.get(xs, F.lit(0))["regions"])
+    keep &= F.forall(L.positions(xs), lambda i: F.get(xs, i)["timestamp_mss"] > F.get(xs, i - 1)["timestamp_mss"])
+    keep &= (F.array_max(risks) - F.array_min(risks) <= 20) & (L.last(risks) >= 40)
+    keep &= F.aggregate(xs, F.lit(0.0), lambda a, e: a + e["amounts"]) >= 100
+    return counted(found.where(keep), "path_length")
 
 
 @register(Q2_SQL)
@@ -310,7 +339,10 @@ def cypher_monotonic(spark, sf_dir):
 
 @register(Q4_SQL)
 def cypher_max_min(spark, sf_dir):
-    return q4_reduce(spark, sf_dir)
+    """Largest minus smallest as: no two edges lie further apart."""
+    xs = F.col("weights")
+    near = F.forall(xs, lambda a: F.forall(xs, lambda b: a - b <= BOUND))
+    return late(spark, sf_dir, ("weight",), near)
 
 
 @register(oracle(TRAIL, NEW, moves=[(0, 1, "purchase"), (1, 1, "purchase")], accept=(1,)))
@@ -377,7 +409,7 @@ def trail_listing(spark, sf_dir):
 
 @register(f"WITH {EDGES} SELECT edge_id, src, dst, label, amount, risk_score, timestamp_ms, weight, k, color, region FROM e")
 def handoff_graph(spark, sf_dir):
-    return graph(spark, sf_dir)
+    return handoff(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 @register(f"WITH {EDGES} SELECT src, dst, label, weight, row_number() OVER (ORDER BY src, dst, label, weight) - 1 AS edge_id FROM e")
@@ -401,22 +433,106 @@ def edges_as_json(spark, sf_dir):
     return edge_json(graph(spark, sf_dir).select("edge_id", "timestamp_ms", "src", "dst", "label")).select("edge_id", "edge_json")
 
 
-@register(f"WITH {EDGES} SELECT label, count(*) AS n_edges, min(amount) AS least, max(amount) AS most, median(weight) AS middle FROM e GROUP BY label")
+@register(f"WITH {EDGES} SELECT label, count(*) AS n_edges, min(amount) AS least, max(amount) AS most, avg(k) AS mean_k, median(weight) AS middle FROM e GROUP BY label")
 def edges_by_label(spark, sf_dir):
-    return graph(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n_edges"), F.min("amount").alias("least"), F.max("amount").alias("most"), F.median("weight").alias("middle"))
+    return graph(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n_edges"), F.min("amount").alias("least"), F.max("amount").alias("most"), F.avg("k").alias("mean_k"), F.median("weight").alias("middle"))
 
 
 @register(Q3_SQL)
 def recursive_sql_q3(spark, sf_dir):
-    """The monotonic trail as one recursive statement."""
-    graph(spark, sf_dir).createOrReplaceTempView("waymark_edges")
-    Nfa(tuple(PLAIN), (0,), (0,)).edges(spark).createOrReplaceTempView("waymark_nfa")
+    """The monotonic trail as one recursive statement, with bound parameters."""
     state = {"w": ("CAST(NULL AS BIGINT)", "e.weight"), "ids": ("CAST(array() AS ARRAY<BIGINT>)", "array_append(p.ids, e.edge_id)")}
-    text = recursive_sql("waymark_edges", "waymark_nfa", START, 0, MAX, state, "(p.w IS NULL OR e.weight > p.w) AND NOT array_contains(p.ids, e.edge_id)")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(f"{text} SELECT path_length, count(*) AS n_paths FROM paths WHERE path_length >= {MIN} AND s = 0 GROUP BY path_length")
+    text = recursive_sql("{edges}", "{nfa}", 0, MAX, state, "(p.w IS NULL OR e.weight > p.w) AND NOT array_contains(p.ids, e.edge_id)")
+    text += " SELECT path_length, count(*) AS n_paths FROM (SELECT * FROM paths LIMIT ALL) WHERE path_length >= :least AND s = 0 GROUP BY path_length"
+    return spark.sql(text, {"start": START, "least": MIN}, edges=graph(spark, sf_dir), nfa=Nfa(tuple(PLAIN), (0,), (0,)).edges(spark))
 
 
 @register(oracle(TRAIL, NEW, moves=[(0, 1, "absent")], accept=(1,)))
 def unknown_label(spark, sf_dir):
     return query(spark, sf_dir, nfa=simple("absent")).by_length()
+
+
+# ---- trails with null keys, composed constraints, greater lengths, files
+
+
+SOME_WEIGHTS = ("epoch_us(ts) // 1000000 AS weight", "CASE WHEN event_id % 3 > 0 THEN epoch_us(ts) // 1000000 END AS weight")
+
+
+@register(oracle(MONO | TRAIL, f"{LATER} AND {NEW}").replace(*SOME_WEIGHTS))
+def null_key_trail(spark, sf_dir):
+    """A third of the edges have no key; a path may start with some, and none comes twice."""
+    own = query(spark, sf_dir, monotonic("weight", "bigint"), grouped=True)
+    return replace(own, edges=own.edges.withColumn("weight", F.when(F.col("edge_id") % 3 > 0, F.col("weight")))).by_length()
+
+
+@register(oracle(MONO | COLORS | TRAIL, f"{LATER} AND {NEW}", "ok"))
+def composed_python(spark, sf_dir):
+    """Three Python constraints at once."""
+    return query(spark, sf_dir, (MONOTONIC_PY, TWO_COLOR_PY, py_trail()), semantics="walk").by_length()
+
+
+@register(oracle(MONO | COLORS | TRAIL, f"{LATER} AND {NEW}", "ok"))
+def composed_mixed(spark, sf_dir):
+    """A Column and a Python constraint at once."""
+    return query(spark, sf_dir, (monotonic("weight", "bigint"), TWO_COLOR_PY)).by_length()
+
+
+def levels_sql(max_len: int, state: dict[str, tuple[str, str, str]], valid: str = "true", where: str = "true") -> str:
+    """Counts by length, level by level, of walks over PLAIN moves: state as column -> (type, initial value, value after an edge)."""
+    names = "".join(f", {c}" for c in state)
+    after = "".join(f", CAST({b} AS {kind}) AS {c}" for c, (kind, _, b) in state.items())
+    first = "".join(f", CAST({a} AS {kind}) AS {c}" for c, (kind, a, _) in state.items())
+    ctes = [EDGES, f"l0 AS (SELECT {START}::BIGINT AS v, 1::HUGEINT AS n{first})"]
+    for i in range(1, max_len + 1):
+        ctes.append(f"l{i} AS (SELECT v{names}, sum(n) AS n FROM (SELECT e.dst AS v, n{after} FROM l{i - 1} p JOIN e ON e.src = p.v WHERE e.label IN ('view', 'click') AND {valid}) GROUP BY ALL)")
+    each = " UNION ALL ".join(f"SELECT {i} AS path_length, n FROM l{i} WHERE {where}" for i in range(MIN, max_len + 1))
+    return f"WITH {', '.join(ctes)} SELECT path_length, CAST(sum(n) AS BIGINT) AS n_paths FROM ({each}) GROUP BY path_length"
+
+
+@register(levels_sql(10, {}))
+def walks_to_ten(spark, sf_dir):
+    return query(spark, sf_dir, semantics="walk", grouped=True, max_len=10).by_length()
+
+
+@register(levels_sql(10, {"w": ("BIGINT", "NULL", "e.weight")}, LATER))
+def monotonic_to_ten(spark, sf_dir):
+    """Monotonic trails, which need no list of edges, so that paths merge into counts."""
+    return query(spark, sf_dir, monotonic("weight", "bigint"), max_len=10, grouped=True).by_length()
+
+
+@register(levels_sql(6, {"lc": ("BIGINT", "NULL", "color"), "ok": ("BOOLEAN", "false", "ok OR coalesce(lc = color, false)")}, where="ok"))
+def two_color_walks_to_six(spark, sf_dir):
+    return query(spark, sf_dir, adjacent_equal("color", "bigint"), semantics="walk", max_len=6, grouped=True).by_length()
+
+
+@register(f"WITH {EDGES} SELECT src, dst, label, CAST(weight AS DOUBLE) AS weight, CAST(color AS VARCHAR) AS color, row_number() OVER (ORDER BY src, dst, label, weight, color) - 1 AS edge_id FROM e")
+def edges_from_csv(spark, sf_dir):
+    """Written as CSV with the headers from and to, and read back."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    graph(spark, sf_dir).selectExpr("src as `from`", "dst as `to`", "label", "weight", "color").write.option("header", True).csv(path)
+    return read_edges(spark, path)
+
+
+@register(f"WITH {EDGES} SELECT edge_id, src, dst, label FROM e WHERE label = 'purchase'")
+def edges_of_a_label(spark, sf_dir):
+    """Split into folders by label, of which one is read."""
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    write_by_label(graph(spark, sf_dir), path)
+    return read_label(spark, path, "purchase").select("edge_id", "src", "dst", "label")
+
+
+@register("SELECT f AS from_state, t AS to_state, label FROM (VALUES " + ", ".join(map(str, GENERAL.transitions)) + ") n(f, t, label)")
+def nfa_from_csv(spark, sf_dir):
+    """An automaton written as two CSV files and read back."""
+    path = f"{shared_folder(spark)}/nfa-{uuid.uuid4().hex}"
+    write_nfa(spark, GENERAL, f"{path}-moves", f"{path}-states")
+    return read_nfa(spark, f"{path}-moves", f"{path}-states").edges(spark)
+
+
+@register(f"WITH {EDGES}, x AS (SELECT DISTINCT src AS id FROM e) SELECT id, 'node' || id AS name, CASE WHEN id = {START} THEN 'Start' ELSE '' END AS label FROM x")
+def nodes_from_csv(spark, sf_dir):
+    """Nodes written as CSV, most without a label, and read back with empty ones."""
+    path = f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
+    nodes = graph(spark, sf_dir).select(F.col("src").alias("id")).distinct()
+    nodes.select("id", F.concat(F.lit("node"), "id").alias("name"), F.when(F.col("id") == START, "Start").alias("label")).write.option("header", True).csv(path)
+    return read_nodes(spark, path, fill_label=True)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..plans.nfa import Nfa
 from ..plans.query import kept
 
+# Columns of the known files, of the preview, and of the edges that constraints see.
 NODES = "id bigint, name string, label string"
 SLIM = "edge_id bigint, src bigint, dst bigint, label string, weight double, color string"
 WIDE = (
@@ -78,9 +79,10 @@ def write_nfa(spark: SparkSession, nfa: Nfa, edges_path: str, states_path: str)
 
 
 def edge_json(edges: DataFrame) -> DataFrame:
-    """edges with edge_json: the known columns that aren't null, and the names id, time and day for three of them."""
-    own = [c for c in JSON_COLUMNS if c in edges.columns]
-    values = [F.col(c) for c in own]
+    """edges with edge_json: the known columns that are neither null nor NaN, and the names id, time and day for three of them."""
+    kinds = dict(edges.dtypes)
+    known = lambda c: F.when(~F.isnan(c), F.col(c)) if kinds[c] in ("double", "float") else F.col(c)
+    values = [known(c).alias(c) for c in JSON_COLUMNS if c in edges.columns]
     for alias, column in (("id", "edge_id"), ("time", "timestamp_ms"), ("day", "hour_of_day")):
         if column in edges.columns:
             values.append(F.col(column).alias(alias))
@@ -97,6 +99,11 @@ def write_by_label(edges: DataFrame, path: str) -> None:
     edges.repartition("label").write.mode("overwrite").partitionBy("label").parquet(path)
 
 
+def read_label(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """The edges of one label from folders by label: no other folder is listed or read."""
+    return spark.read.parquet(path).where(F.col("label") == label)
+
+
 def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
     """df, or ValueError if a key is null or repeated: the check that a primary key would make."""
     bad = df.groupBy(*keys).count().where("count > 1 or " + " or ".join(f"{k} is null" for k in keys)).limit(1).collect()
