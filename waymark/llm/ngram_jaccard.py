@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, Words, apart, chunks, cut, kept, mix, shuffle_partitions, small_batches, star, tidy
+from .common import U64, Words, apart, chunks, cut, kept, mix, shuffle_partitions, small_batches, star
 
 #: A token in more documents is frequent: the orders put it last, and no pairs are made from it.
 LIGHT = 48
@@ -460,8 +460,6 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     for r in counts.mapInArrow(lambda it: frequent(it, light, bits), "bucket int, marks binary").collect():
         marks[r.bucket * slot_bytes : (r.bucket + 1) * slot_bytes] = r.marks
     shared = spark.sparkContext.broadcast(bytes(marks))
-    del marks
-    tidy(spark)
 
     profiles = first.where("bucket is null").select("id", "th", "n", "c1", "c2")
     classes = cut(profiles.where("n > 0").groupBy("c1", "c2").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("named"), F.min("th").alias("th"), F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("first"), F.max("n").alias("n")))
@@ -485,7 +483,6 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
         enough = F.col(f"shared{o}") >= F.col(f"needed{o}")
         both = both.where(F.col("linked") | F.coalesce(enough, may))
     clusters = star(both.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    tidy(spark)
 
     wanted = classes.join(clusters, "node").select("node", "c1", "c2", "n", F.col("named.id").alias("wid"), F.coalesce("named.th", "th").alias("wth"), F.col("root").alias("cluster"))
     wanted = cut(blocked(wanted, t))
@@ -500,8 +497,6 @@ def jaccard_groups(docs: DataFrame, k: int = 3, t: int = 90, id_col: str = "doc_
     spread = sets.withColumn("other", F.explode_outer(others_of)).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "tokens")
     spread = spread.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = cut(spread.mapInArrow(lambda it: links_of(it, t), "u long, v long, n long"))
-    shared.unpersist()
-    tidy(spark)
 
     groups = star(links.where("n = 0").select("u", "v"))
     numbers = links.where("n > 0").groupBy("u").agg(F.sum("n").alias("n_links")).withColumnRenamed("u", "node")
@@ -519,6 +514,8 @@ def aliases(classes: DataFrame) -> dict[tuple[int, int], int]:
     again = classes.groupBy("c1").agg(F.count("*").alias("k")).where("k > 1").select("c1")
     out: dict[tuple[int, int], int] = {}
     last = None
+    if again.isEmpty():
+        return out
     for r in classes.join(again, "c1").select("c1", "c2").orderBy("c1", "c2").collect():
         key = r.c1 % (1 << 64), r.c2 % (1 << 64)
         if r.c1 == last:
@@ -537,16 +534,16 @@ def blocked(wanted: DataFrame, t: int) -> DataFrame:
     neighbours, by the logarithm of their sizes; the base is a little wide, so that
     rounding can't part them.
     """
-    level = (F.floor(F.log(F.col("n")) / F.lit(math.log(100 / t) * 1.0001 if t < 100 else 1.0)) + 1).cast("long")
-    levelled = wanted.withColumn("level", level)
-    counts = levelled.groupBy("cluster", "level").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
-    many = F.greatest(F.least(F.lit(16), F.ceil(F.col("k") / BLOCK)), F.ceil(F.col("k") / PAIRED), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long")
-    whole = Window.partitionBy("cluster")
-    order = whole.orderBy("level")
-    one = (F.sum("k").over(whole) <= BLOCK) & (F.sum("tokens").over(whole) <= BLOCK_TOKENS)
-    counts = counts.select(apart("cluster").alias("cluster"), apart("level").alias("level"), many.alias("blocks"), one.alias("one"))
-    near = lambda f, by: F.when(~F.col("one") & (f("level").over(order) == F.col("level") + by), f("blocks").over(order)).otherwise(F.lit(0)).cast("long")
-    counts = counts.select("cluster", "level", "one", F.when(F.col("one"), F.lit(1)).otherwise(F.col("blocks")).cast("long").alias("blocks"), near(F.lead, 1).alias("up"), near(F.lag, -1).alias("down"))
-    out = levelled.join(counts, ["cluster", "level"])
-    level = F.when(F.col("one"), F.lit(0).cast("long")).otherwise(F.col("level"))
-    return out.withColumn("block", level * F.lit(1 << 32).cast("long") + F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("level", "one")
+    by_cluster = wanted.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"))
+    large = by_cluster.where((F.col("k") > BLOCK) | (F.col("tokens") > BLOCK_TOKENS)).select("cluster", F.lit(True).alias("large"))
+    level = F.when(F.col("large"), F.floor(F.log(F.col("n")) / F.lit(math.log(100 / t) * 1.0001 if t < 100 else 1.0)).cast("long") + 1).otherwise(F.lit(0).cast("long"))
+    levelled = wanted.join(large, "cluster", "left").withColumn("level", level).drop("large")
+    many = F.greatest(F.least(F.lit(16), F.ceil(F.count("*") / BLOCK)), F.ceil(F.count("*") / PAIRED), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("long")
+    # by a key of its own: else the sums would follow the join's dealing, a cluster to a task
+    counts = levelled.where("level > 0").groupBy(apart("cluster").alias("cluster"), "level").agg(many.alias("blocks"))
+    order = Window.partitionBy("cluster").orderBy("level")
+    near = lambda f, by: F.when(f("level").over(order) == F.col("level") + by, f("blocks").over(order)).otherwise(F.lit(0)).cast("long")
+    counts = counts.select("cluster", "level", "blocks", near(F.lead, 1).alias("up"), near(F.lag, -1).alias("down"))
+    out = levelled.join(counts, ["cluster", "level"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.col("level") * F.lit(1 << 32).cast("long") + F.pmod(F.xxhash64("node"), F.col("blocks"))
+    return out.withColumn("block", block).fillna(0, ["up", "down"]).drop("level")
