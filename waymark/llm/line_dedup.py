@@ -7,11 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import apart, cut, small_batches, tidy
-
-#: Documents that lose lines, and spans in all, up to which the spans are broadcast; beyond, they and the texts shuffle.
-BROADCAST = 1 << 17
-BROADCAST_SPANS = 1 << 18
+from .common import apart, cut, small_batches
 
 #: Blanks that are trimmed off a line before it is compared.
 BLANKS = " \t\v\f\r"
@@ -143,7 +139,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Windows are hashed once and kept (48 bytes each). Occurrences meet by hash (128
     bits) in a partial aggregation, so that a window found everywhere moves once
     per task; repeated ones join back to their windows (AQE splits hot ones). Only
-    line spans, each once, join the texts; if they are few, texts do not move.
+    line spans, each once, join the texts.
     """
     return dedup(docs, id_col, text_col, full_lines, size, without, into)
 
@@ -169,10 +165,8 @@ def dedup(docs: DataFrame, id_col: str, text_col: str, units, size: int, cut_out
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("stays"), F.count("*").alias("n")).where("n > 1").select(apart("h1").alias("h1"), apart("h2").alias("h2"), "stays")
     later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("stays")))
     # rows that repeat id and text have the same spans
-    spans = cut(later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans_found")))
-    tidy(docs.sparkSession)
-    n, many = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans_found")), F.lit(0))).first()
-    spans = spans.select(F.col("id").alias("id_found"), F.col("th").alias("th_found"), "spans_found").hint("broadcast" if n <= BROADCAST and many <= BROADCAST_SPANS else "shuffle_hash")
+    spans = later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans_found"))
+    spans = spans.select(F.col("id").alias("id_found"), F.col("th").alias("th_found"), "spans_found").hint("shuffle_hash")
     both = key.join(spans, F.col("id").eqNullSafe(F.col("id_found")) & (F.col("th") == F.col("th_found")), "left")
     both = both.select("row", F.col("text").alias("text_found"), "spans_found")
     out = f"row {both.schema['row'].dataType.simpleString()}, text string, removed array<struct<first:int,last:int>>"
