@@ -539,12 +539,10 @@ def test_a_token_in_very_many_small_sets(spark):
     assert {(r.doc_id, r.component_id, r.n_links) for r in found} == {(n, n, 2), (n + 1, n, 2), (n + 2, n, 2)}
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 17])
-def test_clusters_of_many_blocks(spark, monkeypatch, limit):
+def test_clusters_of_many_blocks(spark, monkeypatch):
     """Near copies of many lengths, some in a chain of links, verified in pairs of blocks."""
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
     monkeypatch.setattr(ngram_jaccard, "PAIRED", 16)
-    monkeypatch.setattr(ngram_jaccard, "BROADCAST", limit)
     base = [f"w{i}" for i in range(200)]
     docs = {i: " ".join(base[: 60 + i]) for i in range(140)}
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_jaccard.jaccard_groups(frame(spark, docs)).collect()}
@@ -569,10 +567,8 @@ def test_encoder_of_every_tokenizer():
     assert by["word_bpe_49k.json"] and not by["byte_bpe_50k.json"]
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 17])
-def test_line_dedup_of_many_equal_rows(spark, monkeypatch, limit):
-    """Equal rows, with and without ids, have their spans once; both ways of joining."""
-    monkeypatch.setattr(line_dedup, "BROADCAST", limit)
+def test_line_dedup_of_many_equal_rows(spark):
+    """Equal rows, with and without ids, have their spans once."""
     same = "a\nb\nc\nd\na\nb\nc\nz"
     rows = spark.createDataFrame([(5, same, "", "", 1)] * 300 + [(None, "q\nr\ns\nq\nr\ns", "", "", 1)] * 200, DOCS).withColumn("removed", F.lit("x"))
     got = line_dedup.dedup_lines(rows, into="spans")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import sys
 import tempfile
@@ -40,16 +39,6 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the broadcasts, shuffle files and tasks' data of finished steps now.
-
-    It learns what is no longer used from the driver's full collections, of which
-    there may be none for half an hour; meanwhile all that takes memory and disk.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def release(spark: SparkSession) -> None:
     """Removes what this session left in the checkpoint folder, once no DataFrame made by it is needed any more.
 
