@@ -72,8 +72,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 ids."""
-    return packing.pack(docs, word_tokenizer(), eos=2)
+    """The pieces of all documents in sequences of 4096 ids; workers that served other stages hold fewer words."""
+    return packing.pack(docs, word_tokenizer(), eos=2, held=1 << 18)
 
 
 STAGES = [

@@ -12,18 +12,18 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, small_batches
-from .tokens import documents
+from .tokens import HELD, documents
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, chunk long, nth long"
 ROWS = 4096
 
 
-def pieces(batches, tokenizer: str, eos: int | None, words: bool, size: int):
+def pieces(batches, tokenizer: str, eos: int | None, words: bool, size: int, held: int):
     """Each document's ids, cut every size ids; nth counts equal lengths within the task."""
     chunk, seen, rows = TaskContext.get().partitionId(), Counter(), []
     schema = pa.schema([(n, pa.int64()) for n in ("id", "start", "length", "ids_crc32", "doc_tokens", "chunk", "nth")])
     batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
-    for name, ids in documents(batches, tokenizer, eos, words):
+    for name, ids in documents(batches, tokenizer, eos, words, held):
         total = len(ids) // 4
         for start in range(0, total, size):
             own = ids[4 * start : 4 * (start + size)]
@@ -94,7 +94,7 @@ def place(batches, table: np.ndarray, names: list[str]):
         yield pa.RecordBatch.from_arrays([pa.array(found[n]) if n in found else batch.column(n) for n in names], names=names)
 
 
-def pack(docs: DataFrame, tokenizer: str, eos: int | None = None, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", words: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, eos: int | None = None, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", words: bool = True, held: int = HELD) -> DataFrame:
     """Packs the token ids of all rows of docs into sequences of at most size ids.
 
     Returns a row per piece: id_col, start, length, ids_crc32 (little-endian
@@ -105,15 +105,15 @@ def pack(docs: DataFrame, tokenizer: str, eos: int | None = None, size: int = 40
     are not read; a text is encoded whole, in memory of some ten bytes for each of
     its own.
 
-    tokenizer: a tokenizers file, at the same path on all executors; words: see
-    Encoder. Texts are read once; a piece keeps its number among its task's
+    tokenizer: a tokenizers file, at the same path on all executors; words and
+    held: see Encoder. Texts are read once; a piece keeps its number among its task's
     pieces of the same length, and sums of counts by (task, length) make that a
     rank over all. The histogram (size numbers at most) is all the driver sees;
     the patterns' intervals go out to the tasks, fewer than 2 * size patterns of
     sqrt(2 * size) lengths each.
     """
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cuts = cut(rows.mapInArrow(lambda it: pieces(it, tokenizer, eos, words, size), PIECES))
+    cuts = cut(rows.mapInArrow(lambda it: pieces(it, tokenizer, eos, words, size, held), PIECES))
     counts = cut(cuts.groupBy("chunk", "length").agg(F.count("*").alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = intervals(shortest_pack_first(histogram, size))

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import small_batches
-from .tokens import documents
+from .tokens import HELD, documents
 
 SEQUENCES = "block long, sequence long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
 
@@ -83,7 +83,7 @@ def sequences(batches, tokenizer: str, eos: int | None, words: bool, size: int,
         for at in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 256]), schema)], schema=schema)
 
-    for name, raw in documents(batches, tokenizer, eos, words):
+    for name, raw in documents(batches, tokenizer, eos, words, HELD):
         ids = np.frombuffer(raw, "<u4")
         if len(ids) and ids.max() > np.iinfo(kind).max:
             raise ValueError(f"an id above {np.iinfo(kind).max} does not fit {kind}")

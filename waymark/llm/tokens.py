@@ -30,6 +30,9 @@ BY_WORD_PIECES = {
     ],
 }
 
+#: Words that an encoder holds, about 200 bytes each, twice over at most.
+HELD = 1 << 19
+
 #: Places in which words that came once are marked.
 SLOTS = 1 << 22
 
@@ -56,7 +59,7 @@ class Encoder(dict):
     of one full cache before.
     """
 
-    def __init__(self, path: str, eos: int | None, words: bool = True, limit: int = 1 << 18) -> None:
+    def __init__(self, path: str, eos: int | None, words: bool = True, limit: int = HELD) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -111,9 +114,9 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.split())) + self.end
 
 
-def documents(batches, tokenizer: str, eos: int | None, words: bool) -> Iterator[tuple[object, bytes]]:
-    """(id, ids) of each row. Columns: id, text."""
-    encoder = kept(("encoder", tokenizer, eos, words), lambda: Encoder(tokenizer, eos, words))
+def documents(batches, tokenizer: str, eos: int | None, words: bool, held: int) -> Iterator[tuple[object, bytes]]:
+    """(id, ids) of each row, by an encoder that holds so many words. Columns: id, text."""
+    encoder = kept(("encoder", tokenizer, eos, words, held), lambda: Encoder(tokenizer, eos, words, held))
     for batch in batches:
         texts = batch.column("text")
         for i, name in enumerate(batch.column("id").to_pylist()):
