@@ -34,7 +34,7 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without later occurrences of repeated lines and of sentences in long lines; documents of which nothing is left go."""
+    """Without later occurrences of repeated lines, and of sentences and clauses in long lines; documents of which nothing is left go."""
     own = unused(docs, "removed")
     lines = line_dedup.dedup_passages(docs, into=own)
     was_cut = F.size(own) > 0

@@ -102,6 +102,33 @@ def test_passages_inside_lines(spark):
     assert docs[2][gone["first"] : gone["last"] + 1] == passage + " "
 
 
+def test_passages_that_begin_and_end_inside_sentences(spark):
+    r = random.Random(16)
+    clause = lambda: " ".join(words(r, 8, 5000))
+    inside = ", ".join(clause() for _ in range(5)) + "; " + clause() + "."
+    docs = {i: f"{clause()} {inside} {clause()}" for i in (1, 2)}
+    got = {d.doc_id: d.text for d in line_dedup.dedup_passages(frame(spark, docs)).collect()}
+    # the first clause has other words before it and stays
+    head = docs[2].split(", ")[0]
+    assert got == {1: docs[1], 2: f"{head}, {docs[2].split('. ')[1]}"}
+
+
+def test_pieces_are_the_same_in_spark_and_python(spark):
+    r = random.Random(17)
+    part = lambda: r.choice([*["word"] * 9, *"     ", "  ", ", ", "; ", ": ", ". ", "! ", '." ', "?) ", "\n", "\t", "\u3002", "\u00fcber", ",", "."])
+    texts = ["".join(part() for _ in range(r.randint(1, 120))) for _ in range(400)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", line_dedup.full_pieces(F.col("text")).alias("p")).collect()
+    blanks = line_dedup.BLANKS + "\n"
+    for row in got:
+        pieces = line_dedup.pieces_of(texts[row.i])
+        assert "".join(pieces) == texts[row.i]
+        assert [(x.i, x.t) for x in row.p] == [(i, p.strip(blanks)) for i, p in enumerate(pieces) if p.strip(blanks)]
+    for line in (x for t in texts for x in t.split("\n")):
+        bare = line.strip(line_dedup.BLANKS)
+        same = lambda t: [p.strip(blanks) for p in line_dedup.pieces_of(t) if p.strip(blanks)]
+        assert same(f" \t  {bare}    ") == same(bare)
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_passages_of_short_lines_are_lines(spark, docs, clash):
     plain = {d: t for d, t in docs.items() if d != 98}

@@ -13,10 +13,12 @@ from .common import apart, cut, small_batches
 BLANKS = " \t\v\f\r"
 
 #: Characters from which a line is long, and of a sentence at least ("Yes. No! So." is none, and goes with what precedes or follows).
+#: A clause of CLAUSE characters or more, without a mark inside, is a piece of its own if as much as a sentence follows.
 LONG = 100
 SENTENCE = 10
+CLAUSE = 30
 
-#: Where texts part into lines, and long lines into sentences. Both match no character, so the pieces make up the text; Java and Python read them alike.
+#: Where texts part into lines, and long lines into sentences and clauses. Both match no character, so the pieces make up the text; Java and Python read them alike.
 #: A sentence starts anew wherever the characters before say so, with no look at outer blanks or at earlier sentences.
 #: What all ways of ending have in common is looked for first, which most places fail at once.
 LINE_ENDS = "(?<=\n)"
@@ -24,7 +26,11 @@ MARKED = "|".join(f"(?<=[.!?]{quote}[ \t])" for quote in ("", "[\"')\\]]"))
 SENTENCE_ENDS = (
     f"(?<=[ \t])(?:{MARKED})(?:"
     + "|".join(f"(?<=[^.!?\\n{BLANKS}][^.!?]{{{n}}}[.!?]{quote}[ \t])" for n in (SENTENCE - 1, SENTENCE) for quote in ("", "[\"')\\]]"))
-    + r")|(?<=[\u3002\uff01\uff1f])"
+    + r")|(?<=[\u3002\uff01\uff1f])|(?<=[,;:][ \t])(?:"
+    + "|".join(f"(?<=[^.!?,;:\\n{BLANKS}][^.!?,;:\\n]{{{n}}}[,;:][ \t])" for n in (CLAUSE - 1, CLAUSE))
+    + ")(?:"
+    + "|".join(f"(?=[^.!?\\n]{{{n}}}[^.!?\\n{BLANKS}])" for n in (SENTENCE - 1, SENTENCE))
+    + ")"
 )
 
 
@@ -35,7 +41,7 @@ def full_lines(text: Column) -> Column:
 
 
 def full_pieces(text: Column) -> Column:
-    """array<struct<i, t>>: number and text of the lines, sentences of long lines instead, that aren't blank."""
+    """array<struct<i, t>>: number and text of the lines, sentences and clauses of long lines instead, that aren't blank."""
     trimmed = lambda x: F.trim(x, F.lit(BLANKS + "\n"))
     lines = F.transform(F.split(text, LINE_ENDS), lambda x: F.when(F.length(trimmed(x)) > LONG, F.split(x, SENTENCE_ENDS)).otherwise(F.array(x)))
     return F.filter(F.transform(F.flatten(lines), lambda x, i: F.struct(i.alias("i"), trimmed(x).alias("t"))), lambda x: x["t"] != "")
@@ -145,7 +151,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, into: str = "removed") -> DataFrame:
-    """dedup_lines() that also finds passages within lines: lines over LONG characters count as their sentences.
+    """dedup_lines() that also finds passages within lines: lines over LONG characters count as their sentences and long clauses.
 
     What dedup_lines() cuts this cuts too, since equal lines part alike. into holds
     the first and last character of each span that went.
