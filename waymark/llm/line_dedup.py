@@ -20,18 +20,23 @@ CLAUSE = 30
 
 #: Where texts part into lines, and long lines into sentences and clauses. Both match no character, so the pieces make up the text; Java and Python read them alike.
 #: A sentence starts anew wherever the characters before say so, with no look at outer blanks or at earlier sentences.
-#: What all ways of ending have in common is looked for first, which most places fail at once.
+#: The character before, which all ways of ending have in common, is looked for first: most places fail at once.
 LINE_ENDS = "(?<=\n)"
 MARKED = "|".join(f"(?<=[.!?]{quote}[ \t])" for quote in ("", "[\"')\\]]"))
-SENTENCE_ENDS = (
-    f"(?<=[ \t])(?:{MARKED})(?:"
+BEFORE_END = "[ \t。！？]"
+HERE = (
+    f"(?:{MARKED})(?:"
     + "|".join(f"(?<=[^.!?\\n{BLANKS}][^.!?]{{{n}}}[.!?]{quote}[ \t])" for n in (SENTENCE - 1, SENTENCE) for quote in ("", "[\"')\\]]"))
-    + r")|(?<=[\u3002\uff01\uff1f])|(?<=[,;:][ \t])(?:"
+    + r")|(?<=[。！？])|(?<=[,;:][ \t])(?:"
     + "|".join(f"(?<=[^.!?,;:\\n{BLANKS}][^.!?,;:\\n]{{{n}}}[,;:][ \t])" for n in (CLAUSE - 1, CLAUSE))
     + ")(?:"
     + "|".join(f"(?=[^.!?\\n]{{{n}}}[^.!?\\n{BLANKS}])" for n in (SENTENCE - 1, SENTENCE))
     + ")"
 )
+SENTENCE_ENDS = f"(?<={BEFORE_END})(?:{HERE})"
+
+#: Set between pieces by regexp_replace(), whose pattern Spark compiles once and not for each line as split() does.
+BETWEEN = "\0"
 
 
 def full_lines(text: Column) -> Column:
@@ -41,9 +46,14 @@ def full_lines(text: Column) -> Column:
 
 
 def full_pieces(text: Column) -> Column:
-    """array<struct<i, t>>: number and text of the lines, sentences and clauses of long lines instead, that aren't blank."""
+    """array<struct<i, t>>: number and text of the lines, sentences and clauses of long lines instead, that aren't blank.
+
+    Newlines, which end pieces in pieces_of(), are left out; the numbers are the same.
+    """
     trimmed = lambda x: F.trim(x, F.lit(BLANKS + "\n"))
-    lines = F.transform(F.split(text, LINE_ENDS), lambda x: F.when(F.length(trimmed(x)) > LONG, F.split(x, SENTENCE_ENDS)).otherwise(F.array(x)))
+    parted = lambda x: F.split(F.regexp_replace(x, f"({BEFORE_END})(?:{HERE})", f"$1{BETWEEN}"), BETWEEN)
+    of_line = lambda x: F.when(F.length(trimmed(x)) <= LONG, F.array(x)).when(x.contains(BETWEEN), F.split(x, SENTENCE_ENDS)).otherwise(parted(x))
+    lines = F.transform(F.split(text, "\n"), of_line)
     return F.filter(F.transform(F.flatten(lines), lambda x, i: F.struct(i.alias("i"), trimmed(x).alias("t"))), lambda x: x["t"] != "")
 
 
