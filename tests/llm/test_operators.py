@@ -180,6 +180,14 @@ def test_star(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_star_plans_stay_small_over_rounds(spark):
+    ids = random.Random(1).sample(range(20), 20)
+    found = common.star(spark.createDataFrame(list(zip(ids, ids[1:])), "u bigint, v bigint"))
+    # the estimate had four times the digits after each round
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 200
+    assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in ids}
+
+
 RULES = [url_filter.Rule("org", "/", "allow"), url_filter.Rule("example.org", "/es/", "block"), url_filter.Rule("a.example.org", "/", "allow"), url_filter.Rule("com", "/de/", "block"), url_filter.Rule("com", "/de/x/y/z", "allow")]
 
 

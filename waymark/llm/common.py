@@ -29,6 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """cut(df), without the optimizer's estimate of its size.
+
+    A checkpoint keeps the estimate of the plan before it, which multiplies the sizes
+    of what is joined. Where each round joins the last one's rows twice, that number
+    has four times the digits after each, until planning alone fills the driver.
+    """
+    done, spark = cut(df)._jdf, df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().analyzed().rdd(), done.schema(), False), spark)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -228,9 +239,10 @@ def star(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps until nothing changes. Each
     step is a minimum by node, summed before the shuffle, and an equi-join whose
-    skew AQE splits; a round's edges are kept in the checkpoint folder.
+    skew AQE splits; a round's edges are kept in the checkpoint folder, and plans
+    stay of one size however many rounds there are.
     """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = cut_in_loop(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -238,7 +250,7 @@ def star(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least.select(apart("u").alias("u"), "m"), "u")
-        e = cut(small.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).distinct())
+        e = cut_in_loop(small.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
