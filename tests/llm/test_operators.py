@@ -622,3 +622,42 @@ def test_long_urls(spark):
     urls = ["http://example.org/es/" + "x" * 300_000, "http://" + "a." * 50_000 + "example.org/es/"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(None, urls[0])], "page_id bigint, url string")
     assert {r.rule for r in url_filter.filter_urls(pages, RULES).collect()} == {"example.org/es/"}
+
+
+LEFT_BY_TASKS = """
+import random, re, sys
+import pyarrow as pa
+from waymark.llm import common, ngram_jaccard, tokens
+
+def held():
+    return sum(map(int, re.findall(r"\\nAnonymous: +(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+class Marks:
+    value = bytes(1 << ngram_jaccard.SLOT_BITS - 3)
+
+r = random.Random(2)
+texts = [" ".join(f"w{r.randrange(50_000)}" for _ in range(400)) for _ in range(4000)]
+def batches():
+    for at in range(0, len(texts), 1000):
+        yield pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": pa.array(texts[at : at + 1000], pa.string())})
+for _ in tokens.documents(batches(), sys.argv[1], 2, True, 1 << 18):
+    pass
+for _ in ngram_jaccard.prefixes(batches(), 5, 80, (1 << 64) - 1, 54, Marks, {}):
+    pass
+encoders = [k for k in sys.modules["waymark_worker"].__dict__ if k[0] == "encoder"]
+before = held()
+pa.default_memory_pool().release_unused()
+__import__("ctypes").CDLL(None).malloc_trim(0)
+print(len(encoders), round(before - held()))
+"""
+
+
+def test_what_tasks_leave_in_a_worker():
+    """After a task a worker holds neither much freed memory nor what only other operators use."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", LEFT_BY_TASKS, TOKENIZER], cwd=Path(common.__file__).parents[2], capture_output=True, text=True, check=True)
+    encoders, free_mb = map(int, done.stdout.split())
+    assert encoders == 0 and free_mb < 16

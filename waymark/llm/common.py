@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import hashlib
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,13 +140,53 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
 
 
 def kept(key, make):
-    """make() once in this Python worker: later tasks of the process find it again."""
-    held = sys.modules.setdefault("waymark_worker", types.ModuleType("waymark_worker")).__dict__
+    """make() once in this Python worker: later tasks of the process find it again.
+
+    What is large has a tuple as key, by whose first part tasks keep it (see lean()).
+    """
+    held = worker()
     if key not in held:
         held[key] = make()
     return held[key]
 
 
+def worker() -> dict:
+    """What this Python process keeps from task to task."""
+    return sys.modules.setdefault("waymark_worker", types.ModuleType("waymark_worker")).__dict__
+
+
+def give_back() -> None:
+    """Memory that arrow and malloc (glibc's) hold free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(keeps: str | None = None) -> Callable:
+    """Wraps a task's generator, so that its Python worker holds little for it after its end.
+
+    Workers live on from one operator's tasks to the next one's, and while an operator
+    works in the JVM alone, beside a heap that may be full. What arrow and malloc hold
+    free after a task can be more than all that is in use. Large objects kept for
+    other tasks, all but those named keeps, go before the task.
+    """
+
+    def wrap(task: Callable) -> Callable:
+        @functools.wraps(task)
+        def run(*args, **named):
+            held = worker()
+            for key in [k for k in held if isinstance(k, tuple) and k[0] != keeps]:
+                del held[key]
+            try:
+                yield from task(*args, **named)
+            finally:
+                give_back()
+
+        return run
+
+    return wrap
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: xor-shifts and odd multipliers."""
     with np.errstate(over="ignore"):

@@ -7,7 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import apart, cut, small_batches
+from .common import apart, cut, lean, small_batches
 
 #: Blanks that are trimmed off a line before it is compared.
 BLANKS = " \t\v\f\r"
@@ -122,6 +122,7 @@ def without_pieces(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, i
     return "".join(kept) + text[at:], gone
 
 
+@lean()
 def remove(batches, cut_out):
     spans_of = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     for batch in batches:

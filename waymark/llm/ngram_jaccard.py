@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, Words, apart, chunks, cut, kept, mix, shuffle_partitions, small_batches, star
+from .common import U64, Words, apart, chunks, cut, kept, lean, mix, shuffle_partitions, small_batches, star
 
 #: A token in more documents is frequent: the orders put it last, and no pairs are made from it.
 LIGHT = 48
@@ -95,6 +95,7 @@ class Levels:
         return np.concatenate(out)
 
 
+@lean()
 def profile(batches, k: int, universe: int, shift: int):
     """Rows (id, th, n, c1, c2) of documents, and blobs of token counts by the tokens' top bits.
 
@@ -142,6 +143,7 @@ def by_bucket(batches):
         yield at, held
 
 
+@lean()
 def frequent(batches, least: int, bits: int):
     """(bucket, its part of the map of frequent tokens) of buckets that have some; a token is known by SLOT_BITS bits.
 
@@ -159,6 +161,7 @@ def frequent(batches, least: int, bits: int):
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
 
 
+@lean()
 def prefixes(batches, k: int, t: int, universe: int, shift: int, shared, aliases: dict):
     """Blobs of postings by token bucket: each set's prefix under each order; sets too small for any link have none.
 
@@ -249,6 +252,7 @@ def linked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("o", pa.int32()), ("shared", pa.int32()), ("needed", pa.int32()), ("frequent", pa.int32())])
 
 
+@lean()
 def candidates(batches, t: int):
     """Rows (a, b, o, shared, needed, frequent) of pairs of classes that share light prefix tokens under order o.
 
@@ -328,6 +332,7 @@ def filtered(x: np.ndarray, y: np.ndarray, t: int) -> np.ndarray:
     return out
 
 
+@lean()
 def members(batches, k: int):
     """The set of each wanted class, once a task: rows whose text turned out to be of another class are left out."""
     seen: set[int] = set()
@@ -343,6 +348,7 @@ def members(batches, k: int):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=[*names, "tokens"])
 
 
+@lean()
 def links_of(batches, t: int):
     """Verified links of each pair of blocks: (u, v, n) with a spanning forest (n 0) and each class's number (u = v).
 

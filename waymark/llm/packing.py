@@ -11,13 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, small_batches
+from .common import cut, lean, small_batches
 from .tokens import HELD, documents
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, chunk long, nth long"
 ROWS = 4096
 
 
+@lean("encoder")
 def pieces(batches, tokenizer: str, eos: int | None, words: bool, size: int, held: int):
     """Each document's ids, cut every size ids; nth counts equal lengths within the task."""
     chunk, seen, rows = TaskContext.get().partitionId(), Counter(), []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import CHUNK_BYTES, U64, Words, bounded_share, chunks, cut, kept, shipped, small_batches
+from .common import CHUNK_BYTES, U64, Words, bounded_share, chunks, cut, kept, lean, shipped, small_batches
 
 #: Labelled rows that the classifier is fitted on, about, at most.
 FIT_ROWS = 8_000
@@ -101,6 +101,7 @@ class Counterfactuals:
         return out
 
 
+@lean()
 def sparse_rows(batches, groups):
     """(label, x, c): the features of labelled texts (c null), and of pairs of their sentences (label null) that differ."""
     pairs_of = Counterfactuals(groups)
@@ -157,6 +158,7 @@ def choose(rows: DataFrame, ones: int, zeros: int, limit: int = FEATURES) -> np.
     return np.sort(np.array([r.f for r in sure.orderBy(F.desc("sure"), "f").limit(limit).collect()], np.int64))
 
 
+@lean()
 def numbered(batches, names: np.ndarray):
     """(label, x, c) with the positions of the chosen features in place of features."""
     for batch in batches:
@@ -261,6 +263,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     return docs.select(id_col, text_col).join(F.broadcast(bounded_share(known, id_col, rows)), id_col)
 
 
+@lean()
 def rate(batches, shared, text_col: str, names: list[str]):
     """The named columns of each row, score among them."""
     model = Model(**shared.value)
